@@ -245,5 +245,5 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     found = near_duplicates(docs, **options)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows"))
     kept = materialize(kept)
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept")), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
     return out.dropDuplicates(["doc_id"]) if kept.where("rows > 1").limit(1).count() else out
