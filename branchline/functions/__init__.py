@@ -1 +1 @@
-
+"""What models say: lineage and hashes."""

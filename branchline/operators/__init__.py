@@ -1 +1 @@
-
+"""Diff operators."""

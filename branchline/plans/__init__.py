@@ -1 +1 @@
-
+"""Graphs, scopes, runs and promotions."""

@@ -1 +1 @@
-
+"""Streams into snapshot tables."""
