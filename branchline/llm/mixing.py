@@ -71,26 +71,29 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, total: float | None =
     """
     spark = docs.sparkSession
     docs = docs.drop("copy", "shuffle_key")
-    by_source = rates(docs, weights, total, temperature)
+    own = "_mix"  # what the names of helper columns begin with: nothing that ``docs`` has
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    source, n_draws, table, salt, salt_of, u, count = (f"{own}_{x}" for x in ("source", "draws", "cdf", "salt", "of", "u", "count"))
     draws, cdf = tables(F.col("rate"))
-    by_source = materialize(by_source.select(F.col("source").alias("_mix_source"), draws.alias("_mix_draws"), cdf.alias("_mix_cdf")))
+    by_source = materialize(rates(docs, weights, total, temperature).select(F.col("source").alias(source), draws.alias(n_draws), cdf.alias(table)))
     ids = docs["doc_id"]
     if by_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(by_source), docs["source"].eqNullSafe(by_source["_mix_source"]))
+        joined = docs.join(F.broadcast(by_source), docs["source"].eqNullSafe(by_source[source]))
     else:
         # every rate goes to each salt, so that a source with very many rows is spread
-        salted = by_source.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        with_salt = docs.withColumn("_mix_of", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        joined = with_salt.join(salted, with_salt["source"].eqNullSafe(salted["_mix_source"]) & (with_salt["_mix_of"] == salted["_mix_salt"]))
+        salted = by_source.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        with_salt = docs.withColumn(salt_of, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        joined = with_salt.join(salted, with_salt["source"].eqNullSafe(salted[source]) & (with_salt[salt_of] == salted[salt]))
     drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("_mix_draws")),
+        F.sequence(F.lit(1), F.col(n_draws)),
         F.lit(0),
-        lambda acc, k: acc + F.size(F.filter(F.col("_mix_cdf"), lambda c: c <= uniform(F.lit(seed), ids, k))),
+        lambda acc, k: acc + F.size(F.filter(F.col(table), lambda c: c <= uniform(F.lit(seed), ids, k))),
     )
-    one = F.size(F.filter(F.col("_mix_cdf"), lambda c: c <= F.col("_mix_u")))
-    counted = joined.withColumn("_mix_u", uniform(F.lit(seed), ids, F.lit(1)))
-    counted = counted.withColumn("_mix_count", F.when(F.col("_mix_draws") == 1, one).otherwise(drawn)).where(F.col("_mix_count") > 0)
-    out = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_mix_count"))))
+    one = F.size(F.filter(F.col(table), lambda c: c <= F.col(u)))
+    counted = joined.withColumn(u, uniform(F.lit(seed), ids, F.lit(1)))
+    counted = counted.withColumn(count, F.when(F.col(n_draws) == 1, one).otherwise(drawn)).where(F.col(count) > 0)
+    out = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(count))))
     key = F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}:order"), F.coalesce(ids.cast("string"), F.lit("null")), F.col("copy").cast("string"))), 1, 16)
     out = out.select(*(docs[c] for c in docs.columns), "copy", key.alias("shuffle_key"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
