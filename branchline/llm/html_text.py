@@ -80,7 +80,7 @@ def is_furniture(name: str, attrs: str, in_scope: bool) -> bool:
             found = set(_WORD.findall(value))
             if name == "article":
                 found &= {"comment", "comments", "ad", "ads", "advert", "sponsored"}
-            if found & WORDS:
+            if found & WORDS or (not in_scope and "header" in found and found <= {"header", "site", "page", "top", "global", "main", "app", "wrapper", "container", "bar"}):
                 return True
         elif key == "role" and value in ROLES or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True

@@ -441,6 +441,7 @@ def test_main_text():
     assert html_text.extract("") == "" and html_text.extract("just text") == "just text" and html_text.extract("<p>a<p>b") == "a\nb"
     assert html_text.extract("<nav>menu<article><p>text &amp; more</article>") == "text & more"
     assert html_text.extract("<nav><a>one</a></nav><footer>c</footer>") == ""
+    assert html_text.extract('<div class="site-header"><p>The Daily Site</p></div><div id="body"><div class="post-header"><h1>T</h1></div><p>text of it</p></div>') == "T\ntext of it"
     assert html_text.stretches([0, 5, 0, 5, 0, 0, 0, 4]) == [(1, 4), (7, 8)]
 
 
