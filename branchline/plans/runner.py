@@ -106,7 +106,7 @@ class Runner:
         sql = model.sql
         for i, (name, snapshot) in enumerate(sorted(read.items())):
             view = name if "." not in name else f"_input_{i}"
-            store.read_snapshot(snapshot).createOrReplaceTempView(view)
+            store.read_snapshot(snapshot).createOrReplaceTempView(f"`{view}`")
         views = {name: f"_input_{i}" for i, name in enumerate(sorted(read))}
         sql = spark_dialect(sql)
         # names with dots are replaced in place, last first, and keep their last part as alias where they have none
