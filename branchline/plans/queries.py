@@ -543,3 +543,99 @@ def name_sanitization(spark, sf_dir):
     from ..naming import ref_name
 
     return spark.createDataFrame([(ref_name(n),) for n in ("feature/x-1", " a  b ", "///")], "name string")
+
+
+@query("SELECT * FROM (VALUES ('key', 'a, b'), ('kind', 'view'), ('model', 'm')) t(name, value)")
+def header_fields(spark, sf_dir):
+    from .graph import header
+
+    return spark.createDataFrame(list(header("-- Model: m\n\n-- kind: view\n-- key: a, b\n-- a remark\nselect 1 -- late: no").items()), "name string, value string")
+
+
+@query("SELECT * FROM (VALUES ('configured', 'a'), ('header', 'b'), ('hash', NULL), ('error', 'exit 7')) t(source, key)")
+def diff_key_resolution(spark, sf_dir):
+    from ..errors import MissingKey
+
+    rows = [("configured", diffs.resolve_keys(["m"], {"m": ["a"]}, ["b"], "hash")[0]), ("header", diffs.resolve_keys(["m"], {}, ["b"], "hash")[0]), ("hash", diffs.resolve_keys(["m"], {}, [], "hash"))]
+    try:
+        diffs.resolve_keys(["m"], {}, [], "error")
+    except MissingKey as e:
+        rows.append(("error", f"exit {int(e.status)}"))
+    return spark.createDataFrame(rows, "source string, key string")
+
+
+@query("SELECT * FROM (VALUES ('a.region'), ('b.nation'), ('supplier')) t(table_name)")
+def table_listing(spark, sf_dir):
+    s = store(spark, sf_dir, "supplier")
+    s.register_parquet("a.region", f"{sf_dir}/region.parquet")
+    s.register_parquet("b.nation", f"{sf_dir}/nation.parquet")
+    return spark.createDataFrame([(t,) for t in s.list_tables()], "table_name string")
+
+
+@query("SELECT count(*) AS at_pin, count(*) * 2 AS after_moving FROM nation")
+def pin_retarget(spark, sf_dir):
+    s = store(spark, sf_dir, "nation")
+    s.pin("nation", "p", s.head("nation", "main"))
+    s.append("nation", s.read("nation"))
+    n = s.read("nation", "p").count()
+    s.pin("nation", "p", s.head("nation", "main"))
+    return s.read("nation", "p").agg(F.lit(n).cast("long").alias("at_pin"), F.count("*").alias("after_moving"))
+
+
+@query("SELECT * FROM (VALUES ('m', 'main'), ('region', 'main')) t(table_name, ref)")
+def branch_discard_refs(spark, sf_dir):
+    p = project(spark, sf_dir, {"m": "select * from region"}, ("region",))
+    p.run(force=True, change_set="work")
+    p.branch_discard("work")
+    return p.store.refs_df().select("table_name", "ref")
+
+
+@query("SELECT * FROM (VALUES ('mart', 'skipped'), ('other', 'ran'), ('stg', 'skipped')) t(model, status)")
+def run_of_edited_only(spark, sf_dir):
+    """A change-set that has built three models is run again in full after one of them was edited."""
+    models = {"stg": "select * from nation", "mart": "select * from stg", "other": "select * from region"}
+    p = project(spark, sf_dir, models, ("nation", "region"))
+    p.run(models="stg,other", change_set="work")
+    write_models(p.root, {"other": "select * from region where r_regionkey > 1"})
+    return spark.createDataFrame([(r["model"], r["status"]) for r in p.run(models="stg,other", change_set="work")["data"]["results"]], "model string, status string")
+
+
+@query("SELECT n_nationkey FROM nation UNION ALL SELECT n_nationkey + 100 FROM nation WHERE n_regionkey = 1")
+def pinned_run_ignores_new_rows(spark, sf_dir):
+    """The branch keeps answering from its pins; main, refreshed, has the new rows."""
+    p = project(spark, sf_dir, {"m": "select n_nationkey from nation"}, ("nation",))
+    p.run(force=True, change_set="work")
+    extra = p.store.read("nation").where("n_regionkey = 1").withColumn("n_nationkey", F.col("n_nationkey") + 100)
+    p.store.append("nation", extra)
+    p.run(models="m", change_set="work")
+    if p.store.read("m", "work").count() != p.store.read("nation").count() - extra.count():
+        raise AssertionError("the pin has moved")
+    p.run(refresh=True, change_set="main")
+    return p.store.read("m")
+
+
+@query("SELECT count(*) AS added_since_branch FROM nation")
+def diff_against_branch_point(spark, sf_dir):
+    """Production moves after the branch was made: the diff against the branch point does not see that."""
+    p = project(spark, sf_dir, {"m": "-- key: n_nationkey\nselect * from nation where n_nationkey < 0"}, ("nation",))
+    p.run(force=True, change_set="first")
+    p.promote(change_set="first")
+    write_models(p.root, {"m": "-- key: n_nationkey\nselect * from nation"})
+    p.run(change_set="edit", models="m")
+    p.store.append("m", p.store.read("nation"))
+    found = p.diff(change_set="edit", rows=0)["data"]["tables"][0]
+    return spark.createDataFrame([(found["added"],)], "added_since_branch long")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stream_into_model(spark, sf_dir):
+    """Rows arrive as a stream, are appended exactly once, and the model that reads them is refreshed."""
+    from ..sources.workspace import shared_root
+    from ..streaming.ingest import ingest
+
+    p = project(spark, sf_dir, {"m": "select event_type, count(*) as n from feed group by event_type"}, ())
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    where = f"{shared_root(spark)}/stream-{p.store.root.rsplit('-', 1)[-1]}"
+    ingest(source, p, "feed", "feed", where, refresh=True, availableNow=True).awaitTermination()
+    return p.store.read("m")
