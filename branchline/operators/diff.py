@@ -1,8 +1,8 @@
 """Differences between two versions of a table.
 
-The keyed diff is one null-safe full outer join with a mark on either side, so that added, removed, changed and unchanged
-rows come out of one shuffle of each side; equal keys that occur more than once pair up with each other, as in the four
-separate joins it stands for. Without a key, rows are compared by a hash of all their columns.
+The rows of a keyed diff come from one null-safe full outer join with a mark on either side: added, removed, changed and
+unchanged rows out of one shuffle of each side; equal keys that occur more than once pair up with each other, as in the four
+separate joins it stands for. Its counts need no join at all. Without a key, rows are compared by a hash of all columns.
 """
 
 from __future__ import annotations
@@ -78,6 +78,43 @@ def diff_rows(base: DataFrame, branch: DataFrame, keys: list[str], keep: tuple[s
     return out.select("change_type", *values)
 
 
+def diff_counts(base: DataFrame, branch: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: added, removed, changed, unchanged, repeated (keys that pair up more than once).
+
+    The numbers of the joined rows, without joining: rows are counted by all common columns and side, then by key. A key that
+    occurs m times on one side and n times on the other stands for m times n pairs, of which as many are unchanged as equal
+    rows pair up. Both steps combine before they shuffle, so a key with very many rows neither multiplies nor meets in a task.
+    """
+    keys = usable_keys(base, branch, keys)
+    common = [*keys, *(c for c in branch.columns if c in base.columns and c not in keys)]
+
+    def side(df: DataFrame, in_branch: int) -> DataFrame:
+        return df.select(*(_comparable(F.col(f"`{c}`"), df.schema[c].dataType).alias(f"c{i}") for i, c in enumerate(common)), F.lit(in_branch).alias("side"))
+
+    at_key = [f"c{i}" for i in range(len(keys))]
+    rows = side(base, 0).union(side(branch, 1))
+    equal = rows.groupBy(*(f"c{i}" for i in range(len(common)))).agg(F.sum(1 - F.col("side")).alias("a"), F.sum("side").alias("b"))
+    by_key = equal.groupBy(*at_key).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("a") * F.col("b")).alias("same"))
+    a, b, same = F.col("a"), F.col("b"), F.col("same")
+
+    def total(value: Column, name: str) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0)).cast("long").alias(name)
+
+    return by_key.agg(total(F.when(a == 0, b), "added"), total(F.when(b == 0, a), "removed"), total(F.when((a > 0) & (b > 0), a * b - same), "changed"), total(same, "unchanged"), total(((a > 0) & (b > 0) & ((a > 1) | (b > 1))).cast("int"), "repeated"))
+
+
+def changed_once(base: DataFrame, branch: DataFrame, keys: list[str]) -> DataFrame:
+    """change_type and the branch's rows that differ from a base row of their key, each once however many there are."""
+    keys = usable_keys(base, branch, keys)
+    common = [c for c in branch.columns if c in base.columns]
+    b = branch.select(*(F.col(f"`{c}`").alias(f"b{i}") for i, c in enumerate(common)))
+    a = base.select(*(F.col(f"`{c}`").alias(f"a{i}") for i, c in enumerate(common)))
+    same = {c: _comparable(F.col(f"b{i}"), branch.schema[c].dataType).eqNullSafe(_comparable(F.col(f"a{i}"), base.schema[c].dataType)) for i, c in enumerate(common)}
+    differs = reduce(lambda x, y: x | y, (~same[c] for c in common if c not in keys), F.lit(False))
+    rows = b.join(a, reduce(lambda x, y: x & y, (same[k] for k in keys)) & differs, "left_semi")
+    return rows.select(F.lit("changed").alias("change_type"), *(F.col(f"b{i}").alias(c) for i, c in enumerate(common)))
+
+
 def row_hash(df: DataFrame) -> Column:
     """MD5 of all columns as text in their order, set apart from each other and with nulls unlike any text."""
     parts = []
@@ -175,21 +212,20 @@ def diff_tables(name: str, base: DataFrame, branch: DataFrame, keys: list[str] |
     out = TableDiff(name, keys, schema=schema_delta(base.schema, branch.schema))
     if schema_only:
         return out
+    kinds = ("added", "removed", "changed")
     if keys is None:
         out.warning = "no diff key: rows are compared by a hash of all columns, so a changed row counts as added and removed"
-        rows, order, kinds = diff_hash(base, branch), [], ("added", "removed")
+        rows, order = diff_hash(base, branch), []
+        out.added, out.removed = counts(rows, ("added", "removed")).first()
     else:
-        order, kinds = usable_keys(base, branch, keys), KINDS
-        rows = diff_rows(base, branch, keys)
-    if max_rows != 0:
-        rows = rows.persist()  # counts and samples come from the same pass
-    try:
-        for k, n in counts(rows, kinds).first().asDict().items():
-            setattr(out, k, n)
-        if max_rows != 0:
-            for k in ("added", "removed", "changed"):
-                if getattr(out, k):
-                    out.samples[k] = [jsonable(r.asDict(recursive=True)) for r in sample(rows, k, order, max_rows).collect()]
-    finally:
-        rows.unpersist()
+        order = usable_keys(base, branch, keys)
+        out.added, out.removed, out.changed, out.unchanged, repeated = diff_counts(base, branch, keys).first()
+        if repeated:
+            out.warning = f"{repeated} keys occur more than once: each of their rows pairs up with each"
+    if max_rows == 0:
+        return out
+    for kind in kinds:
+        if getattr(out, kind):  # a kind without rows needs no job; the others need only their side of the join
+            found = rows if keys is None else changed_once(base, branch, keys) if kind == "changed" else diff_rows(base, branch, keys, (kind,))
+            out.samples[kind] = [jsonable(r.asDict(recursive=True)) for r in sample(found, kind, order, max_rows).collect()]
     return out

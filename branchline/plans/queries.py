@@ -271,7 +271,7 @@ def summary_sql(pair: str, on: str, differ: str) -> str:
 @query(summary_sql(PAIR, ON, DIFFER))
 def diff_summary(spark, sf_dir):
     a, b, _ = edited(spark, sf_dir)
-    return diffs.counts(diffs.diff_rows(a, b, ["o_orderkey"]))
+    return diffs.diff_counts(a, b, ["o_orderkey"]).drop("repeated")
 
 
 TALK = "select conv_id, turn, role, text from conversations"
@@ -281,7 +281,7 @@ TALK_EDIT = "select conv_id, turn, case when turn % 3 = 0 then upper(role) else
 @query(summary_sql(f"WITH a AS ({TALK}), b AS ({TALK_EDIT})", "b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.turn IS NOT DISTINCT FROM a.turn", "(b.role IS DISTINCT FROM a.role OR b.text IS DISTINCT FROM a.text)"))
 def diff_composite_key(spark, sf_dir):
     a, b, _ = edited(spark, sf_dir, TALK, TALK_EDIT, "conversations")
-    return diffs.counts(diffs.diff_rows(a, b, ["conv_id", "turn"]))
+    return diffs.diff_counts(a, b, ["conv_id", "turn"]).drop("repeated")
 
 
 NULLS = "select nullif(c_custkey, 7) as k, c_nationkey as v from customer where c_custkey < 300"
@@ -291,7 +291,7 @@ NULLS_EDIT = "select nullif(c_custkey, 7) as k, case when c_custkey % 4 = 0 then
 @query(summary_sql(f"WITH a AS ({NULLS}), b AS ({NULLS_EDIT})", "b.k IS NOT DISTINCT FROM a.k", "(b.v IS DISTINCT FROM a.v)"))
 def diff_null_keys(spark, sf_dir):
     a, b, _ = edited(spark, sf_dir, NULLS, NULLS_EDIT, "customer")
-    return diffs.counts(diffs.diff_rows(a, b, ["k"]))
+    return diffs.diff_counts(a, b, ["k"]).drop("repeated")
 
 
 LINES = "select l_orderkey, l_linenumber, l_quantity from lineitem"
@@ -301,7 +301,14 @@ LINES_EDIT = "select l_orderkey, l_linenumber, case when l_orderkey % 3 = 0 then
 @query(summary_sql(f"WITH a AS ({LINES}), b AS ({LINES_EDIT})", "b.l_orderkey IS NOT DISTINCT FROM a.l_orderkey AND b.l_linenumber IS NOT DISTINCT FROM a.l_linenumber", "(b.l_quantity IS DISTINCT FROM a.l_quantity)"))
 def diff_duplicate_keys(spark, sf_dir):
     a, b, _ = edited(spark, sf_dir, LINES, LINES_EDIT, "lineitem")
-    return diffs.counts(diffs.diff_rows(a, b, ["l_orderkey", "l_linenumber"]))
+    return diffs.diff_counts(a, b, ["l_orderkey", "l_linenumber"]).drop("repeated")
+
+
+@query(f"WITH a AS ({LINES}), b AS ({LINES_EDIT}) SELECT b.l_orderkey, b.l_linenumber, b.l_quantity FROM b JOIN a ON b.l_orderkey IS NOT DISTINCT FROM a.l_orderkey AND b.l_linenumber IS NOT DISTINCT FROM a.l_linenumber WHERE b.l_quantity IS DISTINCT FROM a.l_quantity")
+def diff_duplicate_key_rows(spark, sf_dir):
+    """Changed rows in pairs, as they fan out."""
+    a, b, _ = edited(spark, sf_dir, LINES, LINES_EDIT, "lineitem")
+    return diffs.diff_rows(a, b, ["l_orderkey", "l_linenumber"], ("changed",)).drop("change_type")
 
 
 WIDER = "select o_orderkey, o_totalprice, o_orderstatus as status from orders"
@@ -310,7 +317,7 @@ WIDER = "select o_orderkey, o_totalprice, o_orderstatus as status from orders"
 @query(summary_sql(f"WITH a AS ({BASE}), b AS ({WIDER})", ON, "(b.o_totalprice IS DISTINCT FROM a.o_totalprice)"))
 def diff_added_column_common_only(spark, sf_dir):
     a, b, _ = edited(spark, sf_dir, BASE, WIDER)
-    return diffs.counts(diffs.diff_rows(a, b, ["o_orderkey"]))
+    return diffs.diff_counts(a, b, ["o_orderkey"]).drop("repeated")
 
 
 @query("SELECT * FROM (VALUES ('o_custkey', 'removed', 'bigint', NULL), ('o_totalprice', 'changed', 'double', 'int'), ('status', 'added', NULL, 'string')) t(column_name, status, base_type, branch_type)")

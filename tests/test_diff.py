@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from branchline.errors import ConfigError, MissingKey
-from branchline.operators.diff import counts, diff_hash, diff_rows, diff_tables, jsonable, resolve_keys, schema_delta
+from branchline.operators.diff import changed_once, counts, diff_counts, diff_hash, diff_rows, diff_tables, jsonable, resolve_keys, schema_delta
 
 
 def frame(spark, rows, schema="id long, v string"):
@@ -82,8 +82,22 @@ def test_one_pass_equals_four_joins(spark, left, right):
     """Null-safe keys, duplicate keys pair up."""
     schema = "k int, v int"
     got = counts(diff_rows(frame(spark, left, schema), frame(spark, right, schema), ["k"])).first().asDict()
+    fast = diff_counts(frame(spark, left, schema), frame(spark, right, schema), ["k"]).first().asDict()
+    fast.pop("repeated")
+    assert fast == got
     pairs = [(a, b) for b in right for a in left if a[0] == b[0]]
     assert got == {
         "added": sum(all(a[0] != b[0] for a in left) for b in right), "removed": sum(all(a[0] != b[0] for b in right) for a in left),
         "changed": sum(a[1] != b[1] for a, b in pairs), "unchanged": sum(a[1] == b[1] for a, b in pairs),
     }
+
+
+def test_hot_key_is_counted_not_joined(spark):
+    a = spark.range(60_000).selectExpr("0L as k", "id % 7 as v")
+    b = spark.range(50_000).selectExpr("0L as k", "id % 5 as v")
+    got = diff_counts(a, b, ["k"]).first().asDict()
+    same = sum(sum(1 for _ in range(v, 60_000, 7)) * 10_000 for v in range(5))
+    assert got == {"added": 0, "removed": 0, "changed": 60_000 * 50_000 - same, "unchanged": same, "repeated": 1}
+    assert changed_once(a.limit(100), b.limit(40), ["k"]).count() == 40
+    d = diff_tables("t", a.limit(100), b.limit(40), ["k"], 5)
+    assert d.warning.startswith("1 keys") and len(d.samples["changed"]) == 5
