@@ -26,6 +26,8 @@ WORDS = 3
 RADIUS = 2
 #: Fingerprints that a shard holds on average, and at most so many that the top tree is fitted on.
 SHARD, SAMPLE = 8192, 65536
+#: Ids of documents to drop that may be broadcast: 16 MB at most.
+BROADCAST_IDS = 1_000_000
 #: Points below which a shard's tree compares directly.
 LEAF = 192
 
@@ -237,13 +239,17 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS, **options) -> DataFrame:
     """The documents of ``docs``, one of each component: the one whose doc_id is the component_id.
 
-    Of several rows with that same doc_id one stays. A component of null ids alone keeps one row.
+    Of several rows with that same doc_id one stays. Rows of null id stay where a component has no other; one of them stays.
+    Ids that go are broadcast where they are few (``broadcast_ids``, counted first); more of them meet the documents in a
+    shuffled join.
     """
     found = near_duplicates(docs, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = materialize(kept)
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if kept.where("rows > 1").limit(1).count() else out
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")).cast("int")
+    ids = materialize(found.groupBy("doc_id").agg(F.sum(stays).alias("stay")))
+    go = ids.where("stay = 0").select("doc_id")
+    go = F.broadcast(go) if go.limit(broadcast_ids + 1).count() <= broadcast_ids else go.hint("merge")
+    out = docs.join(go, docs["doc_id"].eqNullSafe(go["doc_id"]), "left_anti")
+    return out.dropDuplicates(["doc_id"]) if ids.where("stay > 1").limit(1).count() else out

@@ -369,6 +369,8 @@ def test_keep_one(spark):
     ids = sorted(r["doc_id"] or 0 for r in kept.collect())
     # 9 repeats 1's text; 2 and 3 and the blank 7 and a null id have no words; the null id's own text stays
     assert ids == [-5, 0, 1, 2, 4, 8]
+    shuffled = simhash.keep_one(odd(spark), broadcast_ids=0)
+    assert sorted(r["doc_id"] or 0 for r in shuffled.collect()) == ids
     assert simhash.keep_one(odd(spark, [])).count() == 0
 
 
