@@ -158,7 +158,6 @@ def fit(docs: DataFrame, labels: DataFrame, held: Column, bound: int = BOUND, n_
         return pa.RecordBatch.from_arrays([pa.array([float(z[i] @ betas[k]) for i, k in enumerate(p.tolist())], pa.float64()), pa.array(y, pa.int32())], names=["raw", "label"])
 
     pairs = np.array([tuple(r) for r in map_batches(sample, outside, "raw double, label int").collect()])  # ``bound`` rows at most
-    # label 1 may be rarer in the sample than among the labelled rows by the bound on each label alone; calibrate as sampled
     base.beta = solved(whole)
     base.knots, base.values = isotonic(pairs[:, 0], pairs[:, 1])
     return base
