@@ -133,15 +133,20 @@ def fit(sample: np.ndarray, n: int, longest: float, k: int, seed: int = 5) -> In
     return index
 
 
-def best_of(q: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact scores of the k best rows for one query, ties to smaller ids, each id once."""
-    s = vectors @ q
-    s[ids == own] = -np.inf
+def best_of(q: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: int, k: int, spans: list[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact scores of the k best rows for one query, ties to smaller ids, each id once.
+
+    ``spans`` are the stretches of rows to look at, all by default; rows are scored where they lie, without copies."""
+    spans = spans if spans is not None else [(0, len(ids))]
+    s = np.concatenate([vectors[a:b] @ q for a, b in spans]) if spans else np.zeros(0)
+    at = np.concatenate([np.arange(a, b) for a, b in spans]) if spans else np.zeros(0, dtype=np.int64)
+    s[ids[at] == own] = -np.inf
     if len(s) > 2 * k:
         cut = np.partition(s, len(s) - 2 * k)[len(s) - 2 * k]
         pick = np.flatnonzero(s >= cut - 1e-9 * max(1.0, abs(cut))) if np.isfinite(cut) else np.flatnonzero(np.isfinite(s))
     else:
         pick = np.flatnonzero(np.isfinite(s))
+    pick = at[pick]
     exact = (vectors[pick] * q).sum(axis=1)  # row by row, so that equal vectors score equally
     order = np.lexsort((ids[pick], -exact))
     found, first = np.unique(ids[pick][order], return_index=True)
@@ -161,10 +166,12 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: s
     prepare(spark)
 
     def rows_of(frame: DataFrame) -> DataFrame:
-        return usable(frame, vector).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        return usable(frame, vector).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"))
 
+    # vectors keep their own width while they move; every score is computed in double precision
+    kind = "array<float>" if all("array<float>" == f.schema[vector].dataType.simpleString() for f in (df, queries)) else "array<double>"
     base = rows_of(df)
-    sizes = base.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.expr("aggregate(v, 0D, (s, x) -> s + x * x)")).alias("m")).orderBy(F.desc("n"), "d").limit(1).collect()
+    sizes = base.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.expr("aggregate(v, 0D, (s, x) -> s + double(x) * double(x))")).alias("m")).orderBy(F.desc("n"), "d").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], schema)
@@ -176,7 +183,7 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: s
     shared = spark.sparkContext.broadcast(index)  # LISTS centroids at most
 
     def vectors_of(column: pa.Array) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, lists = shared.value.copies(vectors_of(batch.column(1)))
@@ -196,12 +203,12 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: s
         got = batch.take(pa.array(rows, pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(which, pa.list_(pa.int32())), *got.columns], names=["shard", "lists", "id", "v"])
 
-    posted = materialize(map_batches(base, place, "shard int, list int, id long, v array<double>"))
+    posted = materialize(map_batches(base, place, f"shard int, list int, id long, v {kind}"))
     # shards that came out larger than planned are split by a hash of the id; at most LISTS rows here
     parts = posted.groupBy("shard").agg(F.greatest(F.lit(1), F.round(F.count("*") / SHARD).cast("int")).alias("parts"))
     parts = F.broadcast(spark.createDataFrame(parts.collect(), parts.schema))
     vectors = posted.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).drop("parts")
-    walked = map_batches(asked, walk, "shard int, lists array<int>, id long, v array<double>")
+    walked = map_batches(asked, walk, f"shard int, lists array<int>, id long, v {kind}")
     to = walked.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -213,8 +220,7 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: s
             qs = vectors_of(left.column("v").combine_chunks())
             for own, lists, q in zip(left.column("id").to_pylist(), left.column("lists").to_pylist(), qs, strict=True):
                 a, b = np.searchsorted(number, lists, side="left"), np.searchsorted(number, lists, side="right")
-                at = np.concatenate([np.arange(x, y) for x, y in zip(a, b, strict=True)])
-                found, score = best_of(q, ids[at], vs[at], own, k) if len(at) else (at, at)
+                found, score = best_of(q, ids, vs, own, k, [(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True) if y > x])
                 out[0] += [own] * len(found)
                 out[1] += found.tolist()
                 out[2] += score.tolist()
