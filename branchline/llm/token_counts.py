@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, prepare
 
 #: Chunks kept by a worker; the table starts afresh beyond it.
-KEPT = 400_000
+KEPT = 300_000
 #: Letters that one lower-case mapping and no composition touches, and with them the printable ASCII characters.
 LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 EASY = re.compile(f"[!-~{LETTERS}]+").fullmatch

@@ -175,7 +175,7 @@ class ToxicModel:
         out = self.kept.get(token)
         if out is None:
             out = max(map(self.word, words_of(token, self.chars)), default=0.0)
-            if len(self.kept) > 300_000:
+            if len(self.kept) > 200_000:
                 self.kept.clear()
             if len(token) <= 64:
                 self.kept[token] = out
