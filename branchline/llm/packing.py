@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,26 +116,34 @@ def plan_slots(plan: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: the documents' ids with the end id, cut where longer than ``capacity``."""
+    """doc_id, piece, start, length, ids: the documents' ids with the end id, cut where longer than ``capacity``.
+
+    The ids are little-endian numbers of two bytes where all of a piece's fit, else of four (see ``unpacked``).
+    """
     prepare(docs.sparkSession)
     whole = docs.sparkSession.sparkContext.broadcast(prove_whole(path))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         tok, _, kept = worker_tokenizer(path, whole.value)
-        last, step = packed((end_id,)), 4 * capacity
+        last = packed((end_id,))
         rows: list[list] = [[], [], [], [], []]
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = b"".join(tok.values(text, kept, packed)) + last if text else last
-            for piece, at in enumerate(range(0, len(ids), step)):
-                part = ids[at : at + step]
-                for c, v in zip(rows, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+            ids = np.frombuffer(b"".join(tok.values(text, kept, packed)) + last if text else last, dtype="<u4")
+            for piece, at in enumerate(range(0, len(ids), capacity)):
+                part = ids[at : at + capacity]
+                for c, v in zip(rows, (doc, piece, at, len(part), part.astype("<u2" if part.max() < 1 << 16 else "<u4").tobytes()), strict=True):
                     c.append(v)
-        kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
 
     rows = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(rows, cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return map_batches(rows, cut, f"doc_id {kind}, piece int, start long, length long, ids binary")
+
+
+def unpacked(ids: bytes, length: int) -> np.ndarray:
+    """The numbers of a piece of ``token_pieces``; the width follows from the length."""
+    return np.frombuffer(ids, dtype="<u2" if len(ids) == 2 * length else "<u4").astype(np.int32)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -172,9 +181,75 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return map_batches(rows, place, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Every document's pieces with their sequence and offset: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def lists(values: list[np.ndarray]) -> pa.Array:
+    """A column of lists of 32-bit numbers."""
+    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
+
 
+def pack_sequences(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """The training sequences: sequence_id, ids, pieces.
+
+    ids are all token ids of the sequence; pieces has doc_id, piece, start, length and offset of what is in it, by offset.
     A null text counts as empty and is one piece, the end id alone. Null and repeated ids are kept, one piece each.
     """
-    return pack_pieces(materialize(token_pieces(docs, path, capacity, end_id)), capacity)
+    placed = pack_pieces(materialize(token_pieces(docs, path, capacity, end_id)), capacity)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "piece", "start", "length", "offset"]
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: list[int] = []
+        parts: list[list[dict]] = []
+        ids: list[list[np.ndarray]] = []
+        kinds = None
+
+        def out(n: int) -> pa.RecordBatch:
+            columns = [pa.array(numbers[:n], pa.int64()), lists([np.concatenate(x) for x in ids[:n]]), pa.array(parts[:n], kinds)]
+            del numbers[:n], ids[:n], parts[:n]
+            return pa.RecordBatch.from_arrays(columns, names=["sequence_id", "ids", "pieces"])
+
+        for batch in batches:
+            at = {c: batch.schema.names.index(c) for c in (*names, "sequence_id", "ids")}
+            kinds = kinds or pa.list_(pa.struct([(c, batch.schema.field(at[c]).type) for c in names]))
+            rows = zip(*(batch.column(at[c]).to_pylist() for c in (*names, "sequence_id", "ids")), strict=True)
+            for *piece, number, content in rows:
+                if not numbers or numbers[-1] != number:
+                    numbers.append(number)
+                    parts.append([])
+                    ids.append([])
+                parts[-1].append(dict(zip(names, piece, strict=True)))
+                ids[-1].append(unpacked(content, piece[3]))
+            if len(numbers) > 1:
+                yield out(len(numbers) - 1)  # the last may go on in the next batch
+        if numbers:
+            yield out(len(numbers))
+
+    together = placed.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    inside = f"doc_id: {kind}, piece: int, start: bigint, length: bigint, offset: bigint"
+    return together.mapInArrow(assemble, f"sequence_id long, ids array<int>, pieces array<struct<{inside}>>")
+
+
+def pieces_of(sequences: DataFrame) -> DataFrame:
+    """Each piece of packed sequences, cut out of them: doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids."""
+    kind = sequences.schema["pieces"].dataType.elementType["doc_id"].dataType.simpleString()
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        numbers, ids, pieces = batch.column(0), batch.column(1), batch.column(2)
+        rows: list[list] = [[], [], [], [], [], [], [], []]
+        for number, parts, i in zip(numbers.to_pylist(), pieces.to_pylist(), range(batch.num_rows), strict=True):
+            whole = ids[i].values.to_numpy(zero_copy_only=False)
+            for p in parts:
+                part = whole[p["offset"] : p["offset"] + p["length"]]
+                for c, v in zip(rows, (p["doc_id"], p["piece"], p["start"], p["length"], zlib.crc32(part.astype("<u4").tobytes()), number, p["offset"], part), strict=True):
+                    c.append(v)
+        kinds = (pieces.type.value_type.field("doc_id").type, pa.int32(), *[pa.int64()] * 5)
+        columns = [*(pa.array(c, k) for c, k in zip(rows, kinds, strict=False)), lists(rows[7])]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"])
+
+    rows = sequences.select("sequence_id", "ids", "pieces")
+    return map_batches(rows, cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids array<int>")
+
+
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """The pieces of ``pack_sequences``, a sequence's together and in its order; their ids, joined, are the sequence."""
+    return pieces_of(pack_sequences(docs, path, capacity, end_id))

@@ -19,7 +19,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences of at most 4096 tokens (operator 1)."""
+    """Training sequences of at most 4096 tokens (operator 1): their pieces with all token ids, in the order of the sequence."""
     return packing.pack_documents(docs, vocabulary())
 
 

@@ -97,6 +97,24 @@ def test_packing_documents(spark, tokenizer):
     assert packing.pack_documents(odd(spark, []), vocabulary()).count() == 0
 
 
+def test_sequences_hold_every_token(spark, tokenizer):
+    rows = packing.pack_sequences(odd(spark), vocabulary()).collect()
+    assert len({r["sequence_id"] for r in rows}) == len(rows)
+    found = []
+    for r in rows:
+        assert len(r["ids"]) == sum(p["length"] for p in r["pieces"]) <= 4096
+        assert [p["offset"] for p in r["pieces"]] == sorted(p["offset"] for p in r["pieces"])
+        found += [(str(p["doc_id"]), p["start"], r["ids"][p["offset"] : p["offset"] + p["length"]]) for p in r["pieces"]]
+    want = []
+    for i, t in ODD:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        want += [(str(i), a, ids[a : a + 4096]) for a in range(0, len(ids), 4096)]
+    assert sorted(found) == sorted(want)
+    pieces = packing.pack_documents(odd(spark), vocabulary()).collect()
+    assert sorted((str(r["doc_id"]), r["start"], r["ids"]) for r in pieces) == sorted(want)
+    assert packing.unpacked(np.array([70000, 1], "<u4").tobytes(), 2).tolist() == [70000, 1]
+
+
 def test_exact_complements():
     plan = packing.plan_patterns({60: 5, 40: 5}, 100)
     assert plan == [((60, 40), 5)]
