@@ -24,6 +24,8 @@ from .common import bounded_labelled, map_batches, materialize, prepare
 #: At most so many labelled documents are learned from (half for either label).
 BOUND = 12_000
 THRESHOLD = 0.3
+#: Different tokens that a task counts before it hands their trigrams on.
+TOKENS = 100_000
 #: What a written character may stand for, besides itself. Fixed values.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 #: Characters between letters that may stand for nothing.
@@ -151,8 +153,16 @@ def features(word: str) -> list[str]:
 
 def trigrams(text: str) -> Counter:
     """Trigram counts of the plain words of a text."""
+    return trigrams_of(Counter(text.lower().split()))
+
+
+def trigrams_of(tokens: Counter) -> Counter:
+    """Trigram counts of the plain words among counted lower-case tokens."""
     out: Counter = Counter()
-    words = Counter(w for t in text.lower().split() if (w := t.strip(".,;:!?\"'()*#$%&")) and _PLAIN(w) and not _RUN.search(w))
+    words: Counter = Counter()
+    for t, n in tokens.items():
+        if (w := t.strip(".,;:!?\"'()*#$%&")) and _PLAIN(w) and not _RUN.search(w):
+            words[w] += n
     for word, n in words.items():
         w = f"^^{word}$"
         for i in range(2, len(w)):
@@ -210,24 +220,40 @@ def weight(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
     return min(odds, MOST) if odds > LEAST and gain > SURE else 0.0
 
 
+def corpus_trigrams(docs: DataFrame) -> Counter:
+    """Trigram counts of the plain words of all texts; as many entries as the corpus's alphabets make trigrams."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            grams = trigrams_of(tokens)
+            tokens.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["gram", "n"])
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                tokens.update(t.lower().split())
+                if len(tokens) > TOKENS:
+                    yield out()
+        yield out()
+
+    texts = docs.select(F.coalesce(docs["text"], F.lit("")).alias("text"))
+    counts = texts.mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return Counter({r["gram"]: r["n"] for r in counts.toLocalIterator()})
+
+
 def fit(docs: DataFrame, labels: DataFrame, held: Column, bound: int = BOUND) -> ToxicModel:
-    """Learn the character model, the weights and the scale from at most ``bound`` labelled rows outside ``held``.
+    """Learn the character model from all texts, the weights and the scale from at most ``bound`` labelled rows outside ``held``.
 
     The rows are counted on the executors; the driver gets trigram counts, the features that pass ``weight``, and two
-    numbers a row. Without labelled rows of both kinds the model scores every text alike, below the threshold.
+    numbers a row. The character model uses no labels, so held-out texts count in it as well. Without labelled rows of both kinds the model scores every text alike, below the threshold.
     """
     prepare(docs.sparkSession)
     sample = materialize(bounded_labelled(docs, labels, "toxic", held, bound))
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
 
-    def count_trigrams(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: Counter = Counter()
-        for t in batch.column(0).to_pylist():
-            out.update(trigrams(t))
-        return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["gram", "n"])
-
-    grams = map_batches(sample.select("text"), count_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
-    chars = CharModel(Counter({r["gram"]: r["n"] for r in grams.toLocalIterator()}))
+    chars = CharModel(corpus_trigrams(docs))
     if not n.get(0) or not n.get(1):
         return ToxicModel(chars, {})
 
@@ -268,7 +294,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 def score_documents(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """doc_id and score of every whole text, in one pass without a shuffle. A null text counts as empty."""
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the learning sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the learning sample and the trigrams of the alphabet
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value

@@ -554,6 +554,17 @@ def test_held_out_rows_are_not_learned_from(spark):
     assert fold_of(123, 4) == zlib.crc32(b"123") % 4
 
 
+def test_characters_are_counted_over_all_texts(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(toxicity, "TOKENS", 5)
+    texts = [("bad " if i % 2 else "good ") * 5 for i in range(40)] + ["qvixle qvixle word", "Zorb, once", None, "héllo 1d1ot stuuupid"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    want = sum((toxicity.trigrams(t or "") for t in texts), Counter())
+    assert toxicity.fit(docs, labels, fold(F.col("doc_id"), 4) == 2, bound=8).chars.tri == want and want["qvi"] == 2 and want["zor"] == 1
+
+
 def test_quality_held_out(labelled):
     docs, labels = labelled
     model = quality.fit(docs, labels, fold(labels["doc_id"], 3) == 1)
