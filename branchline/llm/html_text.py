@@ -38,6 +38,9 @@ ROLES = set("navigation banner contentinfo complementary search form alert alert
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
 HOLDERS = set("div section article main body ul ol table td blockquote dl header".split())
 _WORD = re.compile("[a-z0-9]+")
+#: Class names that say what else a page has or lacks, not what the element is.
+_MODIFIER = re.compile(r"(?:has|no|with|without)[-_]|.*[-_](?:enabled|disabled)$")
+REMARKS = set("comment comments commentlist disqus respond reply replies".split())
 
 
 @dataclass
@@ -46,6 +49,8 @@ class Line:
     weight: int
     path: tuple[int, ...]
     scope: int  # the innermost article or main element, 0 outside
+    named: tuple[int, ...] = ()  # open elements that are furniture by their class or id
+    gap: int = 0  # the named element that this empty line stands for
 
 
 @dataclass
@@ -55,19 +60,37 @@ class Page:
     lines: list[Line] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
+    holders: set[int] = field(default_factory=set)  # named elements with an article or main element inside
+    remarks: set[int] = field(default_factory=set)  # named elements for comments
 
-    def close(self, path: tuple[int, ...], scope: int) -> None:
+    def close(self, path: tuple[int, ...], scope: int, named: tuple[int, ...]) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append(Line(text, max(0, len(text) - self.linked), path, scope))
+            self.lines.append(Line(text, max(0, len(text) - self.linked), path, scope, named))
         self.parts.clear()
         self.linked = 0
 
-    def gap(self) -> None:
-        self.lines += [Line("", 0, (), 0)] * WINDOW
+    def gap(self, named: int = 0) -> None:
+        self.lines += [Line("", 0, (), 0, (), named)] * WINDOW
+
+    def settled(self, use_names: bool = True) -> list[Line]:
+        """The lines without what is in named furniture.
+
+        A named element is none after all where it holds an article or main element (and is no aside to far more other
+        text), or two thirds of the page's unlinked text (unless that is in comments, or an article stands elsewhere).
+        """
+        inside: dict[int, int] = {}
+        for line in self.lines:
+            for n in line.named:
+                inside[n] = inside.get(n, 0) + line.weight
+        total, clear = sum(line.weight for line in self.lines), sum(line.weight for line in self.lines if not line.named)
+        elsewhere = any(line.weight and line.scope and not line.named for line in self.lines)
+        spared = {n for n, w in inside.items() if not use_names or (n in self.holders and 4 * w >= clear) or (3 * w > 2 * total and not elsewhere and n not in self.remarks)}
+        return [line for line in self.lines if spared.issuperset(line.named) and line.gap not in spared]
 
 
 def is_furniture(name: str, attrs: str, in_scope: bool) -> bool:
+    """Whether an element is page furniture by its kind, role or invisibility."""
     if name in FURNITURE or (name == "header" and not in_scope):
         return True
     if "=" not in attrs:
@@ -76,21 +99,32 @@ def is_furniture(name: str, attrs: str, in_scope: bool) -> bool:
         return False
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), "".join(values).lower()
-        if key in ("class", "id"):
-            found = set(_WORD.findall(value))
-            if name == "article":
-                found &= {"comment", "comments", "ad", "ads", "advert", "sponsored"}
-            if found & WORDS or (not in_scope and "header" in found and found <= {"header", "site", "page", "top", "global", "main", "app", "wrapper", "container", "bar"}):
-                return True
-        elif key == "role" and value in ROLES or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+        if key == "role" and value in ROLES or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
     return False
 
 
-def lines_of(html: str) -> list[Line]:
-    """The lines of a page: text blocks, and empty lines where page furniture was."""
+def furniture_words(name: str, attrs: str, in_scope: bool) -> set[str]:
+    """The words of an element's class and id that tell page furniture."""
+    if "=" not in attrs or name in ("html", "body", "main"):
+        return set()
+    out: set[str] = set()
+    for key, *values in _ATTR.findall(attrs):
+        if key.lower() in ("class", "id"):
+            found = {w for c in "".join(values).lower().split() if not _MODIFIER.match(c) for w in _WORD.findall(c)}
+            if name == "article":
+                found &= {"comment", "comments", "ad", "ads", "advert", "sponsored"}
+            out |= found & WORDS
+            if not in_scope and "header" in found and found <= {"header", "site", "page", "top", "global", "main", "app", "wrapper", "container", "bar"}:
+                out.add("header")
+    return out
+
+
+def page_of(html: str) -> Page:
+    """The lines of a page: text blocks, and empty lines where page furniture was or may have been."""
     page = Page()
-    stack: list[tuple[str, int, bool]] = []  # name, number, starts furniture
+    stack: list[tuple[str, int, bool, bool]] = []  # name, number, starts furniture, is named like furniture
+    named: tuple[int, ...] = ()
     furniture = 0  # open elements that start furniture
     scopes: list[int] = []
     links = 0
@@ -107,8 +141,13 @@ def lines_of(html: str) -> list[Line]:
                 page.linked += len(" ".join(part.split()))
 
     def pop() -> None:
-        nonlocal furniture, links, path
-        name, num, starts = stack.pop()
+        nonlocal furniture, links, path, named
+        name, num, starts, by_name = stack.pop()
+        if by_name:
+            if not furniture:
+                page.close(path, scopes[-1] if scopes else 0, named)
+                page.gap(num)
+            named = named[:-1]
         furniture -= starts
         if name == "a":
             links = max(0, links - 1)
@@ -132,7 +171,7 @@ def lines_of(html: str) -> list[Line]:
             continue
         if m[1]:
             if name in BLOCK:
-                page.close(path, scopes[-1] if scopes else 0) if not furniture else None
+                page.close(path, scopes[-1] if scopes else 0, named) if not furniture else None
             if any(x[0] == name for x in stack):
                 while True:
                     was = furniture
@@ -144,7 +183,7 @@ def lines_of(html: str) -> list[Line]:
                         break
             continue
         if name in BLOCK:
-            page.close(path, scopes[-1] if scopes else 0) if not furniture else None
+            page.close(path, scopes[-1] if scopes else 0, named) if not furniture else None
             if stack and stack[-1][0] in CLOSES.get(name, ()) or name in BLOCK and stack and stack[-1][0] == "p":
                 was = furniture
                 pop()
@@ -162,19 +201,26 @@ def lines_of(html: str) -> list[Line]:
             page.gap()
         number += 1
         starts = is_furniture(name, m[3], bool(scopes))
-        if starts and not furniture:
-            page.close(path, scopes[-1] if scopes else 0)
-            page.gap()
+        words = set() if starts else furniture_words(name, m[3], bool(scopes))
+        if (starts or words) and not furniture:
+            page.close(path, scopes[-1] if scopes else 0, named)
+            page.gap(number if words else 0)
         furniture += starts
-        stack.append((name, number, starts))
+        stack.append((name, number, starts, bool(words)))
+        if name in ("article", "main") and not furniture and not words:
+            page.holders.update(named)
+        if words:
+            named = (*named, number)
+            if words <= REMARKS:
+                page.remarks.add(number)
         if name == "a":
             links += 1
         if name in ("article", "main") and not furniture:
             scopes.append(number)
         if name in HOLDERS:
             path = (*path, number)
-    page.close(path, scopes[-1] if scopes else 0) if not furniture else None
-    return page.lines
+    page.close(path, scopes[-1] if scopes else 0, named) if not furniture else None
+    return page
 
 
 def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
@@ -196,8 +242,15 @@ def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int]]
 
 
 def extract(html: str, window: int = WINDOW) -> str:
-    """The main text of a page, its blocks joined by newlines; empty if there is none."""
-    lines = lines_of(html)
+    """The main text of a page, its blocks joined by newlines; empty if there is none.
+
+    Where names leave nothing, the text is sought among all lines that are not furniture by their elements.
+    """
+    page = page_of(html)
+    return main_text(page.settled(), window) or main_text(page.settled(False), window)
+
+
+def main_text(lines: list[Line], window: int = WINDOW) -> str:
     by_scope: dict[int, int] = {}
     for line in lines:
         if line.scope:

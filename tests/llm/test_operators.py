@@ -465,6 +465,24 @@ def test_main_text():
     assert html_text.stretches([0, 5, 0, 5, 0, 0, 0, 4]) == [(1, 4), (7, 8)]
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-comments", "post-share-enabled", "widget-content", "legal-text", "sidebar"])
+def test_containers_named_like_furniture(name):
+    text = "<p>First paragraph of the text.</p><p>Second paragraph, a little longer.</p>"
+    want = "First paragraph of the text.\nSecond paragraph, a little longer."
+    top = '<div class="site-header"><p>The Site</p></div>'
+    assert html_text.extract(f'{top}<div class="{name}"><article>{text}<div class="share">Share this</div></article></div>') == want
+    assert html_text.extract(f'<main><div class="{name}"><article>{text}</article></div></main>') == want
+    assert html_text.extract(f'{top}<div class="{name}">{text}</div>') == want
+    # real furniture stays out, however many words or teasers it has
+    assert html_text.extract(f'<div>{text}</div><div class="related"><article><p>Read on</p></article></div><section id="comments"><p>{"remark " * 80}</p></section>') == want
+
+
+def test_all_named_like_furniture():
+    half = "<p>Some text of some length here.</p>"
+    assert html_text.extract(f'<div class="widget">{half}</div><div class="legal">{half}</div>') != ""
+    assert html_text.extract('<div class="menu"><a href=1>Home</a></div>') == ""
+
+
 def test_pages_of_the_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     html = {r["page_id"]: r["html"] for r in pages.collect()}
