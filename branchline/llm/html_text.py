@@ -3,12 +3,14 @@
 Markup is stripped into lines, one for each block of text. A line weighs as many characters as it has outside links; blocks
 of page furniture (menus, adverts, forms, comments ...) and the borders of such blocks are lines that weigh nothing. Weights
 are summed over sliding windows of lines: a window that rises from nothing is a surge, one that falls to nothing a dive, and
-the text lies between them. Of several such stretches the heaviest is the article, with others in the same container.
+the text lies between them. An article or main element is the text as a whole. Without one the heaviest stretch is, with the
+others in the container that it shares with every stretch of some weight.
 """
 
 from __future__ import annotations
 
 import html as entities
+import os.path
 import re
 from dataclasses import dataclass, field
 
@@ -37,6 +39,9 @@ ROLES = set("navigation banner contentinfo complementary search form alert alert
 #: Elements that a new one of the same group closes.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
 HOLDERS = set("div section article main body ul ol table td blockquote dl header".split())
+PARTS = set("section ul ol table td blockquote dl header".split())
+#: Share of the heaviest stretch that another must weigh for the container of both to be sought.
+SIDE = 0.2
 _WORD = re.compile("[a-z0-9]+")
 #: Class names that say what else a page has or lacks, not what the element is.
 _MODIFIER = re.compile(r"(?:has|no|with|without)[-_]|.*[-_](?:enabled|disabled)$")
@@ -48,7 +53,7 @@ class Line:
     text: str
     weight: int
     path: tuple[int, ...]
-    scope: int  # the innermost article or main element, 0 outside
+    scope: int  # the innermost article, or the outermost element where a main is open; 0 outside
     named: tuple[int, ...] = ()  # open elements that are furniture by their class or id
     gap: int = 0  # the named element that this empty line stands for
 
@@ -60,6 +65,7 @@ class Page:
     lines: list[Line] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
+    parts_of: set[int] = field(default_factory=set)  # holders that are a part of a text: sections, lists, quotes, tables
     holders: set[int] = field(default_factory=set)  # named elements with an article or main element inside
     remarks: set[int] = field(default_factory=set)  # named elements for comments
 
@@ -126,7 +132,11 @@ def page_of(html: str) -> Page:
     stack: list[tuple[str, int, bool, bool]] = []  # name, number, starts furniture, is named like furniture
     named: tuple[int, ...] = ()
     furniture = 0  # open elements that start furniture
-    scopes: list[int] = []
+    scopes: list[tuple[int, bool]] = []  # open article and main elements, with whether it is a main
+
+    def scope() -> int:
+        return (scopes[0] if any(main for _, main in scopes) else scopes[-1])[0] if scopes else 0
+
     links = 0
     at = number = 0
     path: tuple[int, ...] = ()
@@ -145,13 +155,13 @@ def page_of(html: str) -> Page:
         name, num, starts, by_name = stack.pop()
         if by_name:
             if not furniture:
-                page.close(path, scopes[-1] if scopes else 0, named)
+                page.close(path, scope(), named)
                 page.gap(num)
             named = named[:-1]
         furniture -= starts
         if name == "a":
             links = max(0, links - 1)
-        if name in ("article", "main") and scopes and scopes[-1] == num:
+        if name in ("article", "main") and scopes and scopes[-1][0] == num:
             scopes.pop()
         if path and path[-1] == num:
             path = path[:-1]
@@ -171,7 +181,7 @@ def page_of(html: str) -> Page:
             continue
         if m[1]:
             if name in BLOCK:
-                page.close(path, scopes[-1] if scopes else 0, named) if not furniture else None
+                page.close(path, scope(), named) if not furniture else None
             if any(x[0] == name for x in stack):
                 while True:
                     was = furniture
@@ -183,7 +193,7 @@ def page_of(html: str) -> Page:
                         break
             continue
         if name in BLOCK:
-            page.close(path, scopes[-1] if scopes else 0, named) if not furniture else None
+            page.close(path, scope(), named) if not furniture else None
             if stack and stack[-1][0] in CLOSES.get(name, ()) or name in BLOCK and stack and stack[-1][0] == "p":
                 was = furniture
                 pop()
@@ -203,7 +213,7 @@ def page_of(html: str) -> Page:
         starts = is_furniture(name, m[3], bool(scopes))
         words = set() if starts else furniture_words(name, m[3], bool(scopes))
         if (starts or words) and not furniture:
-            page.close(path, scopes[-1] if scopes else 0, named)
+            page.close(path, scope(), named)
             page.gap(number if words else 0)
         furniture += starts
         stack.append((name, number, starts, bool(words)))
@@ -216,10 +226,12 @@ def page_of(html: str) -> Page:
         if name == "a":
             links += 1
         if name in ("article", "main") and not furniture:
-            scopes.append(number)
+            scopes.append((number, name == "main"))
         if name in HOLDERS:
             path = (*path, number)
-    page.close(path, scopes[-1] if scopes else 0, named) if not furniture else None
+            if name in PARTS:
+                page.parts_of.add(number)
+    page.close(path, scope(), named) if not furniture else None
     return page
 
 
@@ -247,33 +259,28 @@ def extract(html: str, window: int = WINDOW) -> str:
     Where names leave nothing, the text is sought among all lines that are not furniture by their elements.
     """
     page = page_of(html)
-    return main_text(page.settled(), window) or main_text(page.settled(False), window)
+    return main_text(page.settled(), page.parts_of, window) or main_text(page.settled(False), page.parts_of, window)
 
 
-def main_text(lines: list[Line], window: int = WINDOW) -> str:
+def main_text(lines: list[Line], parts_of: set[int], window: int = WINDOW) -> str:
     by_scope: dict[int, int] = {}
     for line in lines:
         if line.scope:
             by_scope[line.scope] = by_scope.get(line.scope, 0) + line.weight
     scope = max(by_scope, key=lambda s: (by_scope[s], -s), default=0)
-    if not by_scope.get(scope):
-        scope = 0
-    weights = [line.weight if not scope or line.scope == scope else 0 for line in lines]
-    found = stretches(weights, window)
+    if by_scope.get(scope):
+        return "\n".join(line.text for line in lines if line.scope == scope and line.text)
+    found = stretches([line.weight for line in lines], window)
     if not found:
         return ""
-    first, end = max(found, key=lambda s: (sum(weights[s[0] : s[1]]), -s[0]))
-    if scope:
-        inside = [s for s in found if any(line.scope == scope for line in lines[s[0] : s[1]])]
-    else:
-        holder: dict[int, int] = {}
-        for line in lines[first:end]:
-            if line.weight and line.path:
-                holder[line.path[-1]] = holder.get(line.path[-1], 0) + line.weight
-        home = max(holder, key=holder.get, default=None)
-        inside = [s for s in found if s == (first, end) or home is not None and any(line.path and line.path[-1] == home and line.weight for line in lines[s[0] : s[1]])]
-    keep = [line.text for a, b in inside for line in lines[a:b] if line.text and (not scope or line.scope == scope)]
-    return "\n".join(keep)
+    weigh = {s: sum(line.weight for line in lines[s[0] : s[1]]) for s in found}
+    best = max(found, key=lambda s: (weigh[s], -s[0]))
+    paths = [line.path for s in found if weigh[s] >= SIDE * weigh[best] for line in lines[s[0] : s[1]] if line.weight]
+    home = tuple(os.path.commonprefix(paths))
+    while home and home[-1] in parts_of:
+        home = home[:-1]  # what holds a section or a list holds its siblings too
+    inside = [s for s in found if s == best or any(line.weight and line.path[: len(home)] == home for line in lines[s[0] : s[1]])]
+    return "\n".join(line.text for a, b in inside for line in lines[a:b] if line.text)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -477,6 +477,24 @@ def test_containers_named_like_furniture(name):
     assert html_text.extract(f'<div>{text}</div><div class="related"><article><p>Read on</p></article></div><section id="comments"><p>{"remark " * 80}</p></section>') == want
 
 
+def test_whole_articles():
+    # blocks of links alone, wherever they are
+    links = "".join(f"<li><a href={i}>link {i}</a></li>" for i in range(4))
+    page = f"<article><h1><a href=1>Headline</a></h1><p>Some text.</p><ul>{links}</ul><p>More text.</p><p><a href=2>The last word</a></p></article>"
+    assert html_text.extract(page) == "Headline\nSome text.\nlink 0\nlink 1\nlink 2\nlink 3\nMore text.\nThe last word"
+    # main with a nested article
+    assert html_text.extract("<main><h1>Title</h1><p>Intro.</p><article><p>The text of the article.</p></article><p>End.</p></main>") == "Title\nIntro.\nThe text of the article.\nEnd."
+    # beyond an advert without an article element
+    ad = '<div class="ad">BUY NOW</div>'
+    for tag in ("section", "blockquote", "ul"):
+        item = "li" if tag == "ul" else "p"
+        page = f'<div id="top"><p>Hi</p></div><div class="content"><p>First part of the text, the long one.</p>{ad}<{tag}><{item}>Second part.</{item}></{tag}></div>'
+        assert html_text.extract(page).endswith("First part of the text, the long one.\nSecond part."), tag
+    page = f'<div class="content"><section><p>First part of the text.</p></section>{ad}<section><p>Short.</p></section></div>'
+    assert html_text.extract(page) == "First part of the text.\nShort."
+    assert html_text.extract(f'<div><p>Elsewhere.</p></div>{ad}<div class="content"><p>{"The text of it. " * 9}</p></div>') == ("The text of it. " * 9).strip()
+
+
 def test_all_named_like_furniture():
     half = "<p>Some text of some length here.</p>"
     assert html_text.extract(f'<div class="widget">{half}</div><div class="legal">{half}</div>') != ""
