@@ -2,7 +2,8 @@
 
 A token with leetspeak, stretched letters or spaced-out letters is a character lattice: each written character may stand
 for itself, for a letter it resembles, for one of a run, or for nothing. A Viterbi search under a character trigram model
-picks the most likely word; a token of plain letters without a run has a single path and is its own restoration. Restored
+picks the most likely word; a token of plain letters, no two alike in a row, has a single path and is its own restoration.
+In a row of single characters the search may also choose word breaks. Restored
 words and their beginnings are then scored with weights learned from labelled documents.
 """
 
@@ -35,11 +36,15 @@ PREFIXES = (4, 5, 6)
 LEAST, MOST, SURE = 2.5, 9.0, 10.0
 #: Log-probabilities of reading a written character as another, of dropping one, and of a letter that repeats.
 COST_LEET, COST_FILL, COST_RUN = -1.0, -0.5, -0.7
+#: Single characters at either end of a spaced-out word that may be words of their own.
+NEIGHBOURS = 2
 
 _LETTERS = r"[^\W\d_]"
 _CORE = re.compile(r"[^\W_](?:.*[^\W_])?", re.S)
 _PLAIN = re.compile(f"{_LETTERS}+").fullmatch
 _RUN = re.compile(f"({_LETTERS})\\1\\1")
+_DOUBLE = re.compile(f"({_LETTERS})\\1")
+_GAP = re.compile(r"[ .\-_*]+")
 _WORDS = re.compile(f"{_LETTERS}+")
 _SIGNS = "".join(re.escape(c) for c in LEET)
 _ODD = re.compile(f"{_LETTERS}.*[{_SIGNS}*_~^#%&]|[{_SIGNS}].*{_LETTERS}", re.S)
@@ -104,10 +109,14 @@ def _arcs(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def restore(token: str, model: CharModel) -> str:
-    """The most likely word behind a lower-case token: the best path through its lattice."""
+def restore(token: str, model: CharModel, breaks: bool = False) -> str:
+    """The most likely word behind a lower-case token: the best path through its lattice; with ``breaks``, words and spaces."""
     best: dict[str, tuple[float, tuple]] = {"^^": (0.0, ())}
-    for options in _arcs(token):
+    for k, options in enumerate(_arcs(token)):
+        if breaks and k:
+            score, path = max(((s + model(st + "$"), p) for st, (s, p) in best.items()), key=lambda x: x[0])
+            if "^^" not in best or score > best["^^"][0]:
+                best["^^"] = (score, (path, " "))
         new: dict[str, tuple[float, tuple]] = {}
         for state, (score, path) in best.items():
             for text, cost in options:
@@ -134,15 +143,40 @@ def plain_words(token: str) -> list[str]:
 def words_of(token: str, model: CharModel) -> list[str]:
     """Restored lower-case words of one white-space separated token."""
     token = token.lower()
-    if _PLAIN(token) and not _RUN.search(token):
+    if _PLAIN(token) and not _DOUBLE.search(token):
         return [token]
     core = token.rstrip(".,;:?!\"'()[]{}<>*#%&~|`-_=+/\\") if token[-1:] not in "@$" else (token if len(token) < 2 or token[-2] not in "@$" else token.rstrip("@$"))
     core = core.lstrip(".,;:?\"'()[]{}<>*#%&~`-_=/\\")
     out = plain_words(core)
-    if core and (_ODD.search(core) or _RUN.search(core)) and sum(map(str.isalpha, core)) >= 2:
-        found = restore(core, model)
-        if found and found not in out:
-            out = [*out, found]
+    whole = token.strip(".,;:?\"'()[]{}<>*#%&~`-_=/\\")  # with the signs at its end, which may be letters
+    for written in dict.fromkeys((core, whole)):
+        if _ODD.search(written) or _DOUBLE.search(written) or (len(written) > 2 and ("@" in written or "$" in written)):
+            found = restore(written, model)
+            if found and found not in out:
+                out = [*out, found]
+    return out
+
+
+def spaced_words(written: str, model: CharModel) -> set[str]:
+    """Words that a row of single characters (a match of SPACED) may spell.
+
+    Its most likely words, and it as one word, with and without the one-letter words that may stand beside it; also
+    between the wider of its gaps, and between its spaces where other signs set letters apart.
+    """
+    written = written.lower()
+    gaps = _GAP.findall(written)
+    parts = [written]
+    if len(set(map(len, gaps))) > 1:
+        parts += re.split(r"[ .\-_*]{2}", written)
+    if len({g.isspace() for g in gaps}) > 1:
+        parts += written.split()
+    out: set[str] = set()
+    for part in dict.fromkeys(_GAP.sub("", p) for p in parts):
+        if len(part) > 1:
+            out.update(restore(part, model, breaks=True).split())
+        for k in range(min(NEIGHBOURS, len(part) - 3) + 1):
+            out.update(restore(x, model) for x in {part[k:], part[: len(part) - k]})
+    out.discard("")
     return out
 
 
@@ -195,7 +229,7 @@ class ToxicModel:
         """The heaviest token of the whole text, and the sum of the next two; spaced-out words count as tokens."""
         found = [w for w in map(self.token, set(text.split())) if w > 0]
         for m in SPACED.finditer(text):
-            w = self.word(restore("".join(c for c in m[0].lower() if c not in " .-_*"), self.chars))
+            w = max(map(self.word, spaced_words(m[0], self.chars)), default=0.0)
             if w > 0:
                 found.append(w)
         found.sort(reverse=True)
@@ -207,8 +241,18 @@ class ToxicModel:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def document_features(text: str, model: CharModel) -> set[str]:
-    words = {w for t in set(text.split()) for w in words_of(t, model)}
+def document_features(text: str, model: CharModel, kept: dict[str, list[str]]) -> set[str]:
+    """Features of the words of a text; ``kept`` holds the words of tokens seen before, up to a bound."""
+    words: set[str] = set()
+    for t in set(text.split()):
+        found = kept.get(t)
+        if found is None:
+            found = words_of(t, model)
+            if len(kept) > 100_000:
+                kept.clear()
+            if len(t) <= 64:
+                kept[t] = found
+        words.update(found)
     return {f for w in words for f in features(w)}
 
 
@@ -257,10 +301,12 @@ def fit(docs: DataFrame, labels: DataFrame, held: Column, bound: int = BOUND) ->
     if not n.get(0) or not n.get(1):
         return ToxicModel(chars, {})
 
+    kept: dict[str, list[str]] = {}  # filled in the tasks
+
     def count_features(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: tuple[Counter, Counter] = (Counter(), Counter())
         for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            out[y].update(document_features(t, chars))
+            out[y].update(document_features(t, chars, kept))
         names = list(out[0] | out[1])
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([out[1][f] for f in names], pa.int64()), pa.array([out[0][f] for f in names], pa.int64())], names=["feature", "toxic", "clean"])
 

@@ -553,6 +553,18 @@ def test_deobfuscation(toxic_model):
     assert toxicity.words_of("plain", toxic_model.chars) == ["plain"]
 
 
+def test_no_shortcut_past_the_decoder(toxic_model):
+    for plain, hidden in (("stupid", "stuupid"), ("idiot", "iidiiot"), ("clown", "cloown")):
+        assert plain in toxicity.words_of(hidden, toxic_model.chars), hidden
+        assert toxic_model.score(f"the {hidden} of that") == pytest.approx(toxic_model.score(f"the {plain} of that"), abs=1e-6)
+    shit = toxicity.CharModel(sum((toxicity.trigrams(w) for w in "shit hits ass as glass".split()), start=type(toxicity.trigrams(""))()))
+    assert "shit" in toxicity.words_of("5h17", shit) and "ass" in toxicity.words_of("a55", shit) and "ass" in toxicity.words_of("a$$", shit) and "ass" in toxicity.words_of("@$$!", shit)
+    assert toxicity.words_of("1990", shit) == [] and toxicity.words_of("glass", shit)[0] == "glass"
+    for plain, hidden in (("moron", "you are a m o r o n"), ("clown", "such a c.l.o.w.n"), ("moron", "y o u  a r e  a  m o r o n"), ("idiot", "you i d i o t I say")):
+        assert toxic_model.score(hidden) == pytest.approx(toxic_model.score(f"you are a {plain}"), abs=0.05), hidden
+    assert toxic_model.score("A S S E T S and a b c d e f") < toxicity.THRESHOLD
+
+
 def test_restoration_is_the_best_path():
     """The Viterbi search against all paths."""
     import itertools
