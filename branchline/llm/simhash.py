@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import map_batches, materialize, prepare
 from .components import connected_components
@@ -224,14 +225,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, radiu
     A null text counts as empty (fingerprint zero, linked like any other). Null ids keep their rows; a component of null
     ids alone has a null component_id. Repeated rows are kept. Only doc_id and text are read. Empty in, empty out.
     """
+    prints, by_print = components_of(docs, words, seed, radius, shard)
+    # a print that very many documents share is split between tasks by adaptive execution
+    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def components_of(docs: DataFrame, words: int, seed: int, radius: int, shard: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, root, component_id) of every distinct fingerprint; root tells components apart."""
     prints = materialize(fingerprints(docs, words, seed))
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     parts = materialize(connected_components(near_links(classes, radius, shard)))
     of = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = of.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    # a print that very many documents share is split between tasks by adaptive execution
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return prints, of.select("fp", "root").join(ids, "root").select("fp", "root", "component_id")
 
 
 def hex_of(fp: Column) -> Column:
@@ -239,17 +245,42 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS, **options) -> DataFrame:
-    """The documents of ``docs``, one of each component: the one whose doc_id is the component_id.
+def keep_one(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS, words: int = WORDS, seed: int = SEED, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """The documents of ``docs``, exactly one of each component: one whose doc_id is the component_id.
 
-    Of several rows with that same doc_id one stays. Rows of null id stay where a component has no other; one of them stays.
-    Ids that go are broadcast where they are few (``broadcast_ids``, counted first); more of them meet the documents in a
-    shuffled join.
+    A row of null id stays where its component has no other. Rows that share an id, or have none, are told apart by their
+    texts' fingerprints, so that each of them stands for its own component. Ids that go, or that several rows share, are
+    broadcast where they are few (``broadcast_ids``, counted first); more of them meet the documents in a shuffled join.
     """
-    found = near_duplicates(docs, **options)
+    prints, by_print = components_of(docs, words, seed, radius, shard)
+    by_print = materialize(by_print)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")).cast("int")
-    ids = materialize(found.groupBy("doc_id").agg(F.sum(stays).alias("stay")))
-    go = ids.where("stay = 0").select("doc_id")
-    go = F.broadcast(go) if go.limit(broadcast_ids + 1).count() <= broadcast_ids else go.hint("merge")
-    out = docs.join(go, docs["doc_id"].eqNullSafe(go["doc_id"]), "left_anti")
-    return out.dropDuplicates(["doc_id"]) if ids.where("stay > 1").limit(1).count() else out
+    ids = materialize(prints.join(by_print, "fp").groupBy("doc_id").agg(F.sum(stays).alias("stay"), F.count("*").alias("n")))
+
+    def few(found: DataFrame) -> DataFrame:
+        return F.broadcast(found) if found.limit(broadcast_ids + 1).count() <= broadcast_ids else found.hint("merge")
+
+    # null ids need no join
+    shared = ids.where("n > 1 and stay > 0 and doc_id is not null").select("doc_id")
+    go = few(ids.where("(stay = 0 or n > 1) and doc_id is not null").select("doc_id"))
+    alone = docs.where("doc_id is not null").join(go, "doc_id", "left_anti").select(docs.columns)
+    if not ids.where("stay > 0 and (n > 1 or doc_id is null)").limit(1).count():
+        return alone
+    again = docs.where("doc_id is not null").join(few(shared), "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    return alone.unionByName(one_of_each_root(again, by_print, words, seed))
+
+
+def one_of_each_root(docs: DataFrame, by_print: DataFrame, words: int, seed: int) -> DataFrame:
+    """One row of ``docs`` for each component whose component_id is its doc_id, null included."""
+    at, helper = docs.columns.index("text"), "_component_print"
+    while helper in docs.columns:
+        helper += "_"
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fp = np.array([fingerprint(t or "", words, seed) for t in batch.column(at).to_pylist()], dtype=np.uint64)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, helper])
+
+    printed = map_batches(docs, run, StructType([*docs.schema.fields, StructField(helper, LongType())]))
+    parts = by_print.select(F.col("fp").alias(helper), F.col("root").alias(helper + "root"), F.col("component_id").alias(helper + "id"))
+    mine = printed.join(parts, helper).where(F.col("doc_id").eqNullSafe(F.col(helper + "id")))
+    return mine.dropDuplicates([helper + "root"]).select(docs.columns)

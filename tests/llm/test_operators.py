@@ -392,6 +392,14 @@ def test_keep_one(spark):
     assert simhash.keep_one(odd(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("few", [simhash.BROADCAST_IDS, 0])
+def test_keep_one_of_each_component_with_null_and_repeated_ids(spark, few):
+    texts = [f"text number {i} has words {i * 7} of its own {i * 13}" for i in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3]), (None, texts[3]), (6, texts[4]), (7, texts[4]), (7, texts[5])]
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in simhash.keep_one(odd(spark, rows), broadcast_ids=few).collect())
+    assert kept == sorted([("None", texts[0]), ("None", texts[1]), ("5", texts[2]), ("5", texts[3]), ("6", texts[4]), ("7", texts[5])])
+
+
 # -- 6 personal data
 
 BASE = {
