@@ -47,6 +47,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _AT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:[\[({] ?(?:at|AT) ?[\])}]| at |@) ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[({] ?(?:dot|DOT) ?[\])}]| dot |\.) ?[A-Za-z0-9-]{1,63})+")
+AT_SIGNS = (" at ", *(f"{b}{s}{at}" for b in "[({" for s in ("", " ") for at in ("at", "AT")))
 _LOOSE_PHONE = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 _LOOSE_CARD = re.compile(r"(?<![0-9-])[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}(?![0-9-])")
 _LOOSE_ID = re.compile(r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![0-9A-Za-z-])")
@@ -88,8 +89,8 @@ def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     """Further spans that touch no strict one, and not each other."""
     taken = [(a, b) for _, a, b in base]
     found = []
-    low = text.lower() if "dot" in text or "DOT" in text or "(at" in text or "[at" in text else ""
-    if low and any(x in low for x in (" dot ", "(dot", "[dot", "{dot", "(at", "[at", "( at", "[ at")):
+    # as wide as the pattern: every match has one of these
+    if "@" in text or any(x in text for x in AT_SIGNS):
         found += [("email", m.start(), m.end()) for m in _AT.finditer(text) if re.search(r"dot|\(|\[|\{|\.", m[0], re.I)]
     for kind, pattern in (("card", _LOOSE_CARD), ("phone", _LOOSE_PHONE), ("id", _LOOSE_ID)):
         found += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]

@@ -443,6 +443,12 @@ def test_added_spans():
     assert added("we met at dot com in 1999, see section 3-4") == []
 
 
+@pytest.mark.parametrize("written", ["john(AT)example.com", "john {at} example.com", "john ( at ) example.com", "john at example.com", "john [ AT ]example (DOT) com", "john{AT}example{DOT}com"])
+def test_every_match_of_the_pattern_is_a_candidate(written):
+    text = f"Mail: {written} now"
+    assert [(k, text[a:b]) for k, a, b in pii.loose_spans(text, pii.base_spans(text))] == [("email", written)]
+
+
 def test_personal_data_of_odd_rows(spark):
     rows = pii.find_personal(odd(spark)).collect()
     assert len(rows) == len(ODD) and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in rows if r["doc_id"] in (2, 3, 7))
