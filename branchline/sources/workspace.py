@@ -1,4 +1,4 @@
-"""Places for short-lived projects: a warehouse that executors share, and a folder for model files on the driver."""
+"""Places for short-lived data: the folder that a cluster shares, warehouses in it, and folders for model files on the driver."""
 
 from __future__ import annotations
 
@@ -10,19 +10,41 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from ..errors import ConfigError
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where it names none."""
+    """The folder the cluster names in spark.checkpoint.dir. Where it is unset, one of our own, which only a local master can use."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ConfigError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="branchline-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it takes it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have an existing file or folder deleted when the driver ends."""
+    fs, p = file_system(spark, path)
+    fs.deleteOnExit(p)
+
+
 def new_warehouse(spark: SparkSession) -> str:
-    return f"{shared_root(spark)}/warehouse-{uuid.uuid4().hex}"
+    """A new folder below the shared one that lasts as long as the driver."""
+    path = f"{shared_root(spark)}/warehouse-{uuid.uuid4().hex}"
+    fs, p = file_system(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
 
 
 def model_folder(models: dict[str, str], settings: str = "branching: {git_sync: false}\n") -> Path:
