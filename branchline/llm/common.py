@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
+import hashlib
 import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -16,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Rows of one Arrow batch sent to Python. Texts can be long, so batches are kept short.
+from ..sources.workspace import file_system, remove_at_exit, shared_root
+
+#: Rows that a function of batches sees at once. Spark bounds the bytes of the batches themselves.
 ARROW_ROWS = 512
 
 
@@ -25,50 +26,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches, and make sure that workers can import this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    root = str(Path(__file__).resolve().parents[2])
-    known = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    """Send this package to the executors once, so that their workers can import it wherever they run.
+
+    The archive lies in the shared folder as long as the driver lives: executors that start late fetch it from there.
+    """
     sc = spark.sparkContext
-    if root in known | {os.getcwd()} or getattr(sc, "_branchline_shipped", False):
+    if getattr(sc, "_branchline_shipped", False):
         return
-    # Spark's own file server brings the package to every executor.
+    root = Path(__file__).resolve().parents[2]
+    sources = sorted((root / "branchline").rglob("*.py"))
+    digest = hashlib.sha256(b"".join(p.read_bytes() for p in sources)).hexdigest()[:12]
+    name = f"branchline-{digest}-{uuid.uuid4().hex[:8]}.zip"
     with tempfile.TemporaryDirectory() as tmp:
-        base = shutil.make_archive(f"{tmp}/branchline", "zip", root, "branchline")
-        sc.addPyFile(base)
+        with zipfile.ZipFile(f"{tmp}/{name}", "w", zipfile.ZIP_DEFLATED) as out:
+            for p in sources:
+                out.write(p, p.relative_to(root).as_posix())
+        to = f"{shared_root(spark)}/{name}"
+        fs, path = file_system(spark, to)
+        fs.copyFromLocalFile(spark._jvm.org.apache.hadoop.fs.Path(f"file://{tmp}/{name}"), path)
+    remove_at_exit(spark, to)
+    sc.addPyFile(to)
     sc._branchline_shipped = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="branchline-")
-        spark.sparkContext.setCheckpointDir(found)
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-    return found
-
-
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut, and losing executors loses nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage is cut, and losing executors loses nothing.
+
+    What was written lasts until ``discard`` or the end of the driver.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/branchline-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/branchline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    remove_at_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._branchline_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these; nothing that is still to be computed may read them."""
+    for df in frames:
+        fs, path = file_system(df.sparkSession, df._branchline_path)
+        fs.delete(path, True)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ARROW_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows``, without empty ones."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str | StructType) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+    """mapInArrow with a function of one short batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+        for batch in slices(batches):
+            out = fn(batch)
+            yield from out.to_batches() if isinstance(out, pa.Table) else [out]
 
     return df.mapInArrow(run, schema)
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """``names`` with a beginning that makes them unlike every name in ``taken``, whatever its case."""
+    start, have = "_own_", [c.lower() for c in taken]
+    while any(c.startswith(start) for c in have):
+        start += "_"
+    return [start + n for n in names]
+
+
 def text_of(df: DataFrame, text: str = "text") -> Column:
     """The text column, null as empty."""
     return F.coalesce(df[text], F.lit(""))
@@ -88,7 +115,8 @@ def bounded_labelled(docs: DataFrame, labels: DataFrame, label: str, held: Colum
 
     ``held`` marks ids that must not be learned from. The rows are those with the smallest hashes of their ids, half of
     the bound for either label (all of a label that has fewer), so the choice does not depend on order or partitions.
-    Labels that are null or neither 0 nor 1 are left out; an id with two labels counts once, by its larger label.
+    Labels that are null or neither 0 nor 1 are left out; an id with two labels counts once, by its larger label, and an id
+    with several texts by the greatest of them, so that no id's rows add up.
     """
     known = (
         labels.where(labels["doc_id"].isNotNull() & labels[label].isin(0, 1) & ~held)
@@ -101,4 +129,4 @@ def bounded_labelled(docs: DataFrame, labels: DataFrame, label: str, held: Colum
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select("doc_id", text_of(docs).alias("text"))
     # at most ``bound`` ids, so this side may be broadcast
-    return texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label")
+    return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text")).select("doc_id", "text", "label")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, prepare
+from .common import map_batches, materialize, prepare, slices
 
 KINDS = ("email", "ip", "card", "phone", "id")
 #: Probability from which a loose span is added.
@@ -298,7 +298,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, bool] = {}
-        for batch in batches:
+        for batch in slices(batches):
             cols = list(batch.columns)
             texts = [t if t is None else redact(t, chosen(spans_of(t), model, kept)) for t in cols[at].to_pylist()]
             cols[at] = pa.array(texts, cols[at].type)
