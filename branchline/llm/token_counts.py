@@ -2,8 +2,7 @@
 
 Offline, every vocabulary string that ends a word is encoded alone; those that come back as exactly their own id are
 proven whole. At run time a text falls into pre-tokens; proven ones count directly, and merges run only for the rest.
-Results of white-space separated chunks are kept in a bounded table, so that a word costs one lookup after its first
-occurrence in a worker.
+Results are kept in a table of bounded size, so that a word costs one lookup after its first occurrence in a worker.
 """
 
 from __future__ import annotations
@@ -11,7 +10,6 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -20,11 +18,13 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, prepare
 
-#: Chunks kept by a worker; the table starts afresh beyond it.
-KEPT = 300_000
+#: Bytes, about, of what a worker remembers of words in one table, and what a word takes besides its characters.
+KEPT_BYTES, ENTRY = 56 << 20, 180
 #: Letters that one lower-case mapping and no composition touches, and with them the printable ASCII characters.
 LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 EASY = re.compile(f"[!-~{LETTERS}]+").fullmatch
+#: Whole texts of these and the white space of ASCII.
+EASY_TEXT = re.compile(f"[\t-\r -~{LETTERS}]*").fullmatch
 #: Byte-level form: the bytes that have no printable Latin-1 character of their own, in order, stand from U+0100 on.
 BYTE_LEVEL = {b: 0x100 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 #: Characters that str.split() takes for white space and the tokenizers' patterns do not.
@@ -50,6 +50,34 @@ def prove_whole(path: str) -> dict[str, int]:
     return proven
 
 
+class Kept:
+    """Values of words in two generations; a full one becomes the older one, from which words that are met again move up."""
+
+    def __init__(self):
+        self.now: dict = {}
+        self.old: dict = {}
+        self.size = 0
+
+    def of(self, words: list[str], make: Callable) -> list:
+        """The value of each word, ``make`` of those that are not known."""
+        out = list(map(self.now.get, words))
+        if None not in out:
+            return out
+        new = {w: self.old.get(w) for w, v in zip(words, out, strict=True) if v is None}
+        for w, v in new.items():
+            if v is None:
+                new[w] = make(w)
+        out = [new[w] if v is None else v for w, v in zip(words, out, strict=True)]
+        kept = new if max(map(len, new)) <= 64 else {w: v for w, v in new.items() if len(w) <= 64}
+        size = ENTRY * len(kept) + 2 * sum(map(len, kept))
+        if self.size + size > KEPT_BYTES // 2:
+            self.old, self.now, self.size = self.now, {}, 0
+        if size <= KEPT_BYTES // 2:
+            self.size += size
+            self.now.update(kept)
+        return out
+
+
 class WordTokenizer:
     """Token ids of whole texts, equal to the library's, by the whole-token shortcut."""
 
@@ -67,10 +95,10 @@ class WordTokenizer:
         self.added = {t["content"]: t["id"] for t in added}
         self.mark = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        # the same pattern over the characters of EASY alone
+        # the same pattern over the characters of EASY_TEXT alone
         plain = split["pattern"]["Regex"].replace(r"[\p{L}]", f"[{LETTERS}]").replace(r"[\p{N}]", "[0-9]").replace(r"\p{L}\p{N}", LETTERS + "0-9")
         self.plain = re.compile(plain).findall
-        self.rest: dict[str, tuple[int, ...]] = {}
+        self.largest = self.tok.get_vocab_size() - 1
         self.merged = 0
 
     def pre_token(self, word: str) -> tuple[int, ...]:
@@ -78,30 +106,20 @@ class WordTokenizer:
         one = self.whole.get(word)
         if one is not None:
             return (one,)
-        ids = self.rest.get(word)
-        if ids is None:
-            self.merged += 1
-            ids = tuple([t.id for t in self.model.tokenize(word)])
-            if len(self.rest) > KEPT:
-                self.rest.clear()
-            if len(word) <= 64:
-                self.rest[word] = ids
-        return ids
+        self.merged += 1
+        return tuple([t.id for t in self.model.tokenize(word)])
+
+    def easy_word(self, word: str) -> tuple[int, ...]:
+        """Ids of a lower-case pre-token of EASY_TEXT."""
+        return self.pre_token(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LEVEL))
 
     def chunk(self, chunk: str) -> tuple[int, ...]:
         """Ids of a piece of text without white space or added tokens."""
-        if EASY(chunk):
-            words = self.plain(chunk.lower())
-            if not chunk.isascii():
-                words = [w.encode().decode("latin-1").translate(BYTE_LEVEL) for w in words]
-        else:
-            words = [w for w, _ in self.pre.pre_tokenize_str(self.norm.normalize_str(chunk))]
-        if len(words) == 1:
-            return self.pre_token(words[0])
-        return tuple([i for w in words for i in self.pre_token(w)])
-
-    def values(self, text: str, kept: dict, value: Callable) -> list:
-        """``value`` of the ids of each chunk of the whole text, added tokens included, in order."""
+        words = map(self.easy_word, self.plain(chunk.lower())) if EASY(chunk) else (self.pre_token(w) for w, _ in self.pre.pre_tokenize_str(self.norm.normalize_str(chunk)))
+        return tuple([i for ids in words for i in ids])
+
+    def values(self, text: str, kept: tuple[Kept, Kept], value: Callable) -> list:
+        """``value`` of the ids of each word or chunk of the whole text, added tokens included, in order."""
         if self.mark is not None and "<|" in text and self.mark.search(text):
             out = []
             for part in self.mark.split(text):
@@ -109,38 +127,23 @@ class WordTokenizer:
             return out
         return self.values_plain(text, kept, value)
 
-    def values_plain(self, text: str, kept: dict, value: Callable) -> list:
+    def values_plain(self, text: str, kept: tuple[Kept, Kept], value: Callable) -> list:
+        if EASY_TEXT(text):
+            return kept[0].of(self.plain(text.lower()), lambda w: value(self.easy_word(w)))
         chunks = [c for c in SPACE.split(text) if c] if ODD_SPACE.search(text) else text.split()
-        out = list(map(kept.get, chunks))
-        if None in out:
-            if len(kept) > KEPT:
-                kept.clear()
-            for i, v in enumerate(out):
-                if v is None:
-                    c = chunks[i]
-                    v = kept.get(c)
-                    if v is None:
-                        v = value(self.chunk(c))
-                        if len(c) <= 64:
-                            kept[c] = v
-                    out[i] = v
-        return out
+        return kept[1].of(chunks, lambda c: value(self.chunk(c)))
 
 
 _workers: dict = {}
 
 
-def worker_tokenizer(path: str, whole: dict[str, int]) -> tuple[WordTokenizer, dict, dict]:
-    """One tokenizer in a worker process, with its tables of counts and of packed ids."""
+def worker_tokenizer(path: str, whole: dict[str, int]) -> tuple[WordTokenizer, tuple[Kept, Kept], tuple[Kept, Kept]]:
+    """One tokenizer in a worker process, with its tables (of words, of chunks) of counts and of packed ids."""
     if path not in _workers:
-        _workers[path] = (WordTokenizer(path, whole), {}, {})
+        _workers[path] = (WordTokenizer(path, whole), (Kept(), Kept()), (Kept(), Kept()))
     return _workers[path]
 
 
-def packed(ids: tuple[int, ...]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text, in one pass without a shuffle.
 

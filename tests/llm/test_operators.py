@@ -43,7 +43,7 @@ def tokenizer():
 
 
 def test_tokens_equal_the_library(tokenizer):
-    tok, kept = token_counts.WordTokenizer(vocabulary()), {}
+    tok, kept = token_counts.WordTokenizer(vocabulary()), (token_counts.Kept(), token_counts.Kept())
     rng = random.Random(3)
     alphabet = "aAbz09'stlL .,!?-\n\t\x1c\x85\xa0 éÉßçİıſΣςあ中²½👍🏽́‍<|endoftext|>"
     texts = ["", "<|endoftext|>", "a<|startoftext|>b <|ENDOFTEXT|>", "it's I'LL don't", "x" * 3000, "ÀB́", "1234 ½²"]
@@ -112,7 +112,13 @@ def test_sequences_hold_every_token(spark, tokenizer):
     assert sorted(found) == sorted(want)
     pieces = packing.pack_documents(odd(spark), vocabulary()).collect()
     assert sorted((str(r["doc_id"]), r["start"], r["ids"]) for r in pieces) == sorted(want)
-    assert packing.unpacked(np.array([70000, 1], "<u4").tobytes(), 2).tolist() == [70000, 1]
+    import pyarrow as pa
+
+    for kind in ("<u2", "<u4"):
+        raw = pa.array([np.array(x, kind).tobytes() for x in ([7], [1, 2, 3], [9, 9])])
+        assert packing.flat_ids(raw[1:], 5).tolist() == [1, 2, 3, 9, 9]
+    again = packing.pieces_of(packing.pack_sequences(odd(spark), vocabulary())).collect()
+    assert sorted((str(r["doc_id"]), r["start"], r["ids"], r["ids_crc32"]) for r in again) == sorted((str(r["doc_id"]), r["start"], r["ids"], r["ids_crc32"]) for r in pieces)
 
 
 def test_exact_complements():
@@ -123,6 +129,33 @@ def test_exact_complements():
     assert left.pair(10) == (5, 5) and left.pair(14) == (9, 5) and left.triple(19) == (9, 5, 5) and left.triple(27) is None and left.exact(7) == (7,)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_sum_indexes_against_all_combinations(seed):
+    import itertools
+
+    rng = random.Random(seed)
+    n = np.array([0, *(rng.choice([0, 0, 1, 2, 5]) for _ in range(24))])
+    left = packing.Complements(n)
+    for _ in range(30):
+        have = [x for x in range(len(n)) for _ in range(min(int(left.n[x]), 3))]
+        for k, index in ((2, left.pairs), (3, left.triples)):
+            sums = [sum(c) for c in set(itertools.combinations(have, k))]
+            assert index.tolist() == [sums.count(s) for s in range(len(n))]
+        for gap in range(1, len(n)):
+            for found, index in ((left.pair(gap), left.pairs), (left.triple(gap), left.triples)):
+                assert (found is not None) == (index[gap] > 0) and (found is None or sum(found) == gap and all(found.count(x) <= left.n[x] for x in found))
+        if have:
+            x = rng.choice(have)
+            left.take(x, rng.randint(1, int(left.n[x])))
+
+
+def test_plan_of_many_lengths_is_tight():
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(1, 4097, 20_000)
+    plan = packing.plan_patterns({int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True), strict=True)}, 4096)
+    assert sum(n for _, n in plan) <= 1.005 * -(-int(lengths.sum()) // 4096)
+
+
 def best_fit_decreasing(lengths, capacity):
     gaps = []
     for x in sorted(lengths, reverse=True):
@@ -157,6 +190,16 @@ def test_packing_hot_length(spark):
     assert len(rows) == 3000 and check_packed(rows, 100) == 1000
 
 
+def test_packing_null_ids_and_clashing_names(spark):
+    """Rows of one id spread over groups, and columns named like helpers pass through."""
+    names = ["rank", "bucket", "groups", "before", "_own_row", "_OWN_place", "sequence_id"]
+    pieces = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(25).cast("long").alias("length"), *(F.col("id").alias(c) for c in names))
+    out = packing.pack_pieces(pieces, 100)
+    assert out.columns == ["doc_id", "piece", "start", "length", *names[:-1], "sequence_id", "offset"]
+    rows = out.collect()
+    assert check_packed(rows, 100) == 1000 and sorted(r["rank"] for r in rows) == list(range(4000)) and all(r["rank"] == r["before"] == r["_OWN_place"] for r in rows)
+
+
 # -- 2 neighbours
 
 
