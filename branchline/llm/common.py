@@ -49,14 +49,14 @@ def prepare(spark: SparkSession) -> None:
     sc._branchline_shipped = True
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and losing executors loses nothing.
 
     What was written lasts until ``discard`` or the end of the driver.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/branchline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     remove_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._branchline_path = path

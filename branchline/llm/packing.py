@@ -199,7 +199,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     prepare(spark)
     pieces = pieces.drop("sequence_id", "offset")
     row, n_groups, bucket, before, rank, place = free_names(pieces.columns, "row", "groups", "bucket", "before", "rank", "place")
-    kept = materialize(pieces.withColumn(row, F.monotonically_increasing_id()))
+    kept = materialize(pieces.withColumn(row, F.monotonically_increasing_id()), "zstd")
     hist = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     slots = spark.sparkContext.broadcast(plan_slots(plan_patterns(hist, capacity)))
 
