@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_labelled, map_batches, materialize, prepare
+from .common import bounded_labelled, discard, map_batches, materialize, prepare, slices
 
 #: At most so many labelled documents are learned from; random features; width of the kernel; ridge; folds; seed.
 BOUND, FEATURES, WIDTH, RIDGE, FOLDS, SEED = 20_000, 256, 2.0, 1e-3, 4, 20
@@ -94,27 +94,27 @@ class QualityModel:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots and values of the isotonic regression of y on x (pool adjacent violators); values stay inside 0 and 1.
+    """Knots and values of the isotonic regression of y on x (pool adjacent violators): block means, which never fall.
 
     A block is a knot at its mean, so that scores between blocks are interpolated. Rows with the same x are one block.
     """
-    order = np.argsort(x, kind="stable")
+    points, of = np.unique(x, return_inverse=True)
     blocks: list[list[float]] = []  # sum of x, sum of y, rows
-    last = None
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        if last == a:
-            blocks[-1] = [blocks[-1][0] + a, blocks[-1][1] + b, blocks[-1][2] + 1]
-        else:
-            blocks.append([a, b, 1])
-        last = a
+    for a, t, n in zip(points.tolist(), np.bincount(of, weights=y).tolist(), np.bincount(of).tolist(), strict=True):
+        blocks.append([a * n, t, n])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             top = blocks.pop()
             blocks[-1] = [p + q for p, q in zip(blocks[-1], top, strict=True)]
-    return np.array([s / n for s, _, n in blocks]), np.array([(t + 0.5) / (n + 1) for _, t, n in blocks])
+    return np.array([s / n for s, _, n in blocks]), np.array([t / n for _, t, n in blocks])
 
 
 def fit(docs: DataFrame, labels: DataFrame, held: Column, bound: int = BOUND, n_features: int = FEATURES) -> QualityModel:
-    """Fit on at most ``bound`` labelled rows outside ``held``. Without rows of both labels every score is 0.5."""
+    """Fit on at most ``bound`` labelled rows outside ``held``; at most so many pairs of numbers, and sums, reach the driver.
+
+    Null texts count as empty; rows with null ids are not learned from, repeated rows of an id once (see
+    ``bounded_labelled``). Only doc_id and text, and doc_id and quality of the labels, are read. Without rows of both labels
+    (empty tables included) every score is 0.5.
+    """
     prepare(docs.sparkSession)
     sample = document_statistics(bounded_labelled(docs, labels, "quality", held, bound), "doc_id", "label")
     part = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(FOLDS)).cast("int").alias("part")
@@ -125,6 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, held: Column, bound: int = BOUND, n_
     per = {r["label"]: r["n"] for r in totals}
     n = sum(per.values())
     if len(per) < 2:
+        discard(sample)
         return base
     base.mean = np.array([sum(r[f"s{i}"] for r in totals) for i in range(d)]) / n
     base.scale = np.sqrt(np.maximum(np.array([sum(r[f"q{i}"] for r in totals) for i in range(d)]) / n - base.mean**2, 0)) + 1e-3
@@ -132,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, held: Column, bound: int = BOUND, n_
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             x, y, p = (np.array(c.to_pylist()) for c in batch.columns)
             for k in set(p.tolist()):
                 z, t = base.features(x[p == k]), y[p == k]
@@ -160,11 +161,16 @@ def fit(docs: DataFrame, labels: DataFrame, held: Column, bound: int = BOUND, n_
     pairs = np.array([tuple(r) for r in map_batches(sample, outside, "raw double, label int").collect()])  # ``bound`` rows at most
     base.beta = solved(whole)
     base.knots, base.values = isotonic(pairs[:, 0], pairs[:, 1])
+    discard(sample)
     return base
 
 
 def score_documents(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """doc_id and score of every whole text, in one pass without a shuffle. A null text counts as empty."""
+    """doc_id and score of every whole text, in one pass without a shuffle.
+
+    A null text counts as empty. Null ids and repeated rows pass through; only doc_id and text are read, so that further
+    columns of any name do not matter. Empty in, empty out.
+    """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

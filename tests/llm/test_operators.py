@@ -662,7 +662,7 @@ def test_held_out_rows_are_not_learned_from(spark):
 def test_characters_are_counted_over_all_texts(spark, monkeypatch):
     from collections import Counter
 
-    monkeypatch.setattr(toxicity, "TOKENS", 5)
+    monkeypatch.setattr(toxicity, "BLOCK", 20)
     texts = [("bad " if i % 2 else "good ") * 5 for i in range(40)] + ["qvixle qvixle word", "Zorb, once", None, "héllo 1d1ot stuuupid"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
@@ -686,7 +686,136 @@ def test_quality_odd_rows(spark):
 
 def test_isotonic():
     knots, values = quality.isotonic(np.array([1.0, 2.0, 3.0, 4.0, 4.0]), np.array([0.0, 1.0, 0.0, 1.0, 1.0]))
-    assert (np.diff(knots) > 0).all() and (np.diff(values) >= 0).all() and 0 < values[0] < values[-1] < 1
+    assert knots.tolist() == [1.0, 2.5, 4.0] and values.tolist() == [0.0, 0.5, 1.0]
+    _, values = quality.isotonic(np.arange(104.0), np.array([0.0] * 3 + [1.0] * 99 + [0.0, 1.0]))
+    assert (np.diff(values) >= 0).all()
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_isotonic_against_the_minimax_formula(seed):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=rng.integers(1, 60)), int(rng.integers(0, 3)))
+    y = (rng.random(len(x)) < 1 / (1 + np.exp(-x))).astype(float)
+    knots, values = quality.isotonic(x, y)
+    assert (np.diff(knots) > 0).all() and (np.diff(values) >= 0).all()
+    points = np.unique(x)
+    for p in points:
+        # the greatest, over starts, of the least mean up to an end
+        want = max(min(y[(x >= a) & (x <= b)].mean() for b in points[points >= p]) for a in points[points <= p])
+        inside = values[np.searchsorted(values, want - 1e-12)]
+        assert inside == pytest.approx(want)
+    assert (np.diff(np.interp(np.linspace(-4, 4, 200), knots, values)) >= 0).all()
+
+
+def test_quality_against_dense_equations(labelled):
+    """Random features, the ridge regression and the folds, from all rows at once."""
+    from branchline.llm.common import bounded_labelled
+
+    docs, labels = labelled
+    held = fold(labels["doc_id"], 3) == 1
+    model = quality.fit(docs, labels, held, n_features=32)
+    part = F.pmod(F.xxhash64(F.lit(quality.SEED), "doc_id"), F.lit(quality.FOLDS)).alias("part")
+    rows = bounded_labelled(docs, labels, "quality", held, quality.BOUND).select("text", "label", part).collect()
+    x, y, p = np.array([quality.statistics(r["text"]) for r in rows]), np.array([r["label"] for r in rows]), np.array([r["part"] for r in rows])
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+    np.testing.assert_allclose(model.mean, mean, rtol=1e-9)
+    z = np.clip((x - mean) / scale, -8, 8)
+    f = np.column_stack((np.ones(len(x)), math.sqrt(2 / 32) * np.cos(z @ model.freq + model.phase)))
+    w = np.where(y == 1, 1 / (y == 1).mean(), 1 / (y == 0).mean()) / 2
+
+    def ridge(of):
+        root = np.sqrt(w[of])[:, None]
+        extra = math.sqrt(quality.RIDGE * len(y) / 32) * np.eye(f.shape[1])
+        return np.linalg.lstsq(np.vstack((f[of] * root, extra)), np.concatenate(((2.0 * y[of] - 1) * root[:, 0], np.zeros(len(extra)))), rcond=None)[0]
+
+    np.testing.assert_allclose(model.beta, ridge(np.ones(len(y), bool)), rtol=1e-5, atol=1e-7)
+    raw = np.zeros(len(y))
+    for k in range(quality.FOLDS):
+        raw[p == k] = f[p == k] @ ridge(p != k)
+    knots, values = quality.isotonic(raw, y.astype(float))
+    np.testing.assert_allclose(model.score(x[:50]), np.interp(f[:50] @ model.beta, knots, values), atol=1e-4)
+    # the random features stand for a Gaussian kernel
+    many = np.random.default_rng(0).standard_normal((x.shape[1], 20_000)) / quality.WIDTH / math.sqrt(x.shape[1] / 4)
+    a, b = z[0], z[1]
+    about = 2 * np.mean(np.cos(a @ many + (t := np.random.default_rng(1).uniform(0, 2 * math.pi, 20_000))) * np.cos(b @ many + t))
+    assert about == pytest.approx(math.exp(-((a - b) ** 2).sum() / 2 / quality.WIDTH**2 / (x.shape[1] / 4)), abs=0.03)
+
+
+def test_toxicity_against_simple_counts(labelled):
+    """Weights, evidence and scale from plain loops over the learning sample."""
+    from collections import Counter
+
+    from branchline.llm.common import bounded_labelled
+
+    docs, labels = labelled
+    held = fold(labels["doc_id"], 4) == 2
+    model = toxicity.fit(docs, labels, held, bound=200)
+    rows = bounded_labelled(docs, labels, "toxic", held, 200).collect()
+    chars, counts, n = model.chars, {0: Counter(), 1: Counter()}, Counter(r["label"] for r in rows)
+    for r in rows:
+        words = {w for t in r["text"].split() for w in toxicity.words_of(t, chars)}
+        counts[r["label"]].update({x for w in words for x in ["=" + w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) > k)]})
+    want = {}
+    for x, t in counts[1].items():
+        c = counts[0][x]
+        odds = math.log((t + 0.5) / (n[1] + 1) / ((c + 0.5) / (n[0] + 1)))
+        share = n[1] / (n[0] + n[1])
+        gain = t * math.log(t / (t + c) / share) + (c * math.log(c / (t + c) / (1 - share)) if c else 0)
+        if t >= 3 and odds > 2.5 and gain > 10:
+            want[x] = min(odds, 9.0)
+    assert model.weights == pytest.approx(want) and want
+
+    def evidence(text):
+        found = []
+        for token in set(text.split()):
+            found.append(max((want.get(x, 0.0) for w in toxicity.words_of(token, chars) for x in ["=" + w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) > k)]), default=0.0))
+        for m in toxicity.SPACED.finditer(text):
+            found.append(max((want.get(x, 0.0) for w in toxicity.spaced_words(m[0], chars) for x in ["=" + w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) > k)]), default=0.0))
+        found = sorted((x for x in found if x > 0), reverse=True) + [0.0] * 3
+        return found[0], found[1] + found[2]
+
+    x = np.array([[1.0, *evidence(r["text"])] for r in rows])
+    y = np.array([r["label"] for r in rows], dtype=float)
+    b = np.array(model.scale)
+    p = 1 / (1 + np.exp(-x @ b))
+    assert np.abs(x.T @ (y - p) - 1e-2 * b).max() < 1e-3  # no better scale for this evidence
+    for r, q in zip(rows, p, strict=True):
+        assert model.score(r["text"]) == pytest.approx(q, abs=1e-6)
+
+
+def test_tokens_are_remembered_within_bounds(monkeypatch):
+    monkeypatch.setattr(toxicity, "KEPT_BYTES", 4000)
+    seen, rng, known = toxicity.Seen(), random.Random(3), {}
+    for _ in range(300):
+        tokens = {f"t{int(rng.expovariate(0.05))}" for _ in range(8)}
+        found, new = seen.split(tokens)
+        assert sorted(found) == sorted(known[t] for t in tokens - new if known[t])
+        for t in new:
+            known[t] = rng.choice([0.0, 1.5])
+            seen.keep(t, known[t])
+        assert len(seen.plain) + len(seen.found) <= 4000 // 2 // toxicity.ENTRY + 8
+
+
+def test_trigrams_by_code_points():
+    from collections import Counter
+
+    def simple(text):
+        out = Counter()
+        for t in text.lower().split():
+            w = t.strip(".,;:!?\"'()*#$%&")
+            if re.fullmatch(r"[^\W\d_]+", w) and not re.search(r"(.)\1\1", w):
+                w = f"^^{w}$"
+                out.update(w[i - 2 : i + 1] for i in range(2, len(w)))
+        return out
+
+    rng = random.Random(8)
+    alphabet = "aAbBzZéßİΣσς12²½٣ .,!?'\"$#%&*()_-\n\t\x1c中文x́😀" + "".join(chr(0x400 + i) for i in range(130))
+    counts, want = toxicity.TrigramCounts(), Counter()
+    for _ in range(300):
+        texts = ["".join(rng.choice(alphabet if rng.random() < 0.3 else "abAB ") for _ in range(rng.randint(0, 40))) for _ in range(5)]
+        counts.add(texts)
+        want.update(sum(map(simple, texts), Counter()))
+    assert counts.result() == want
 
 
 # -- the queries
