@@ -552,6 +552,37 @@ def test_whole_articles():
     assert html_text.extract(f'<div><p>Elsewhere.</p></div>{ad}<div class="content"><p>{"The text of it. " * 9}</p></div>') == ("The text of it. " * 9).strip()
 
 
+def test_names_inside_an_article_and_plain_pages():
+    """Four pages that names or missing names used to mislead."""
+    text = "<h1><a href=1>Headline</a></h1><p>First paragraph.</p>{}<p>More of it.</p><p><a href=2>The last word</a></p>"
+    for inner, said in (('<div class="social-history"><p>How it began.</p></div>', "How it began."), ('<p id="related">What is related.</p>', "What is related."), ('<p class="hidden-gem">A gem.</p>', "A gem.")):
+        assert html_text.extract(f"<article>{text.format(inner)}</article>") == f"Headline\nFirst paragraph.\n{said}\nMore of it.\nThe last word"
+    assert html_text.extract(f'<article>{text.format("""<div class="ad">BUY NOW</div><div class="comments"><p>I do not agree.</p></div>""")}</article>') == "Headline\nFirst paragraph.\nMore of it.\nThe last word"
+    body = [f"Paragraph {i} of a text that has {'very ' * 9}many words, as texts do." for i in range(4)]
+    plain = "".join(f"<div>{x}</div>" for x in ["Home About Contact Login", *body[:2], "Said who?", *body[2:], "© 2024 The Site"])
+    assert html_text.extract(f"<body>{plain}</body>") == "\n".join([*body[:2], "Said who?", *body[2:]])
+    titled = f"<div>Home About Contact Login</div><h1>The title</h1>{''.join(f'<div>{x}</div>' for x in body)}<div>Imprint Privacy Contact</div>"
+    assert html_text.extract(titled) == "\n".join(["The title", *body])
+
+
+def test_surge_and_dive():
+    """The windows decide: a light row of lines before and after the text is no stretch."""
+    assert html_text.stretches([9, 0, 0, 0, 200, 5, 300, 0, 0, 0, 12, 0]) == [(4, 7)]
+    assert html_text.stretches([]) == [] and html_text.stretches([0, 0]) == [] and html_text.stretches([3]) == [(0, 1)]
+
+
+@pytest.mark.parametrize("tag", ['<div>', '<div class="sidebar">', "<section>", "<article>", "<b>"])
+def test_deep_pages_take_linear_memory(tag):
+    import tracemalloc
+
+    page = f"{tag}x" * 100_000 + "</p></i>" * 100_000
+    tracemalloc.start()
+    text = html_text.extract(page)
+    size = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "x" in text and size < 150 << 20
+
+
 def test_all_named_like_furniture():
     half = "<p>Some text of some length here.</p>"
     assert html_text.extract(f'<div class="widget">{half}</div><div class="legal">{half}</div>') != ""
