@@ -2,7 +2,8 @@
 
 The rows of a keyed diff come from one null-safe full outer join with a mark on either side: added, removed, changed and
 unchanged rows out of one shuffle of each side; equal keys that occur more than once pair up with each other, as in the four
-separate joins it stands for. Its counts need no join at all. Without a key, rows are compared by a hash of all columns.
+separate joins it stands for. Its counts need no join at all: both sides are aggregated together by key, in one shuffle of
+keys and hashes. Without a key, rows are compared by a hash of all columns.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import types as T
 from ..errors import ConfigError, MissingKey
 
 KINDS = ("added", "removed", "changed", "unchanged")
+#: Repeated keys that may be broadcast, to look at their rows alone.
+BROADCAST_KEYS = 100_000
 
 
 def schema_delta(base: T.StructType, branch: T.StructType) -> list[tuple[str, str, str | None, str | None]]:
@@ -38,6 +41,32 @@ def _comparable(c: Column, kind: T.DataType) -> Column:
     return F.array_sort(F.map_entries(c)) if isinstance(kind, T.MapType) else c
 
 
+def _marked(c: Column, kind: T.DataType) -> Column:
+    """A value whose hash tells nulls and lengths inside it apart, which Spark's hashes of nested values pass over."""
+    if isinstance(kind, T.ArrayType):
+        return F.struct(F.size(c), F.transform(c, lambda x: F.struct(x.isNull(), _marked(x, kind.elementType))))
+    if isinstance(kind, T.StructType):
+        return F.struct(*(F.struct(c[f.name].isNull(), _marked(c[f.name], f.dataType)) for f in kind.fields))
+    if isinstance(kind, T.MapType):
+        entries = T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])
+        return _marked(F.array_sort(F.map_entries(c)), T.ArrayType(entries))
+    return c
+
+
+def _hashes(df: DataFrame, columns: list[str]) -> list[Column]:
+    """Two 64-bit hashes of the columns, equal where all are equal, nulls included."""
+    parts = [p for c in columns for p in (F.col(f"`{c}`").isNull(), _marked(F.col(f"`{c}`"), df.schema[c].dataType))]
+    return [F.xxhash64(F.lit(seed), *parts) for seed in (1, 2)]
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """``names`` with a beginning that no name in ``taken`` has, whatever its case."""
+    start, have = "_diff_", [c.lower() for c in taken]
+    while any(c.startswith(start) for c in have):
+        start += "_"
+    return [start + n for n in names]
+
+
 def usable_keys(base: DataFrame, branch: DataFrame, keys: list[str]) -> list[str]:
     """The keys that both sides have; an error if none is left."""
     found = [k for k in keys if k in base.columns and k in branch.columns]
@@ -81,26 +110,44 @@ def diff_rows(base: DataFrame, branch: DataFrame, keys: list[str], keep: tuple[s
 def diff_counts(base: DataFrame, branch: DataFrame, keys: list[str]) -> DataFrame:
     """One row: added, removed, changed, unchanged, repeated (keys that pair up more than once).
 
-    The numbers of the joined rows, without joining: rows are counted by all common columns and side, then by key. A key that
-    occurs m times on one side and n times on the other stands for m times n pairs, of which as many are unchanged as equal
-    rows pair up. Both steps combine before they shuffle, so a key with very many rows neither multiplies nor meets in a task.
+    The numbers of the joined rows, without joining. Only the keys and a 128-bit hash of the other common columns move, once:
+    each key sums its rows on either side and xors their hashes, which settles every key with at most one row a side. A key
+    that occurs m times on one side and n times on the other stands for m times n pairs, of which as many are unchanged as
+    equal rows pair up; only such keys take a second step, which counts equal rows first. Both steps combine before they
+    shuffle, so a key with very many rows neither multiplies nor meets in a task. The counts are computed at once.
     """
     keys = usable_keys(base, branch, keys)
-    common = [*keys, *(c for c in branch.columns if c in base.columns and c not in keys)]
+    rest = [c for c in branch.columns if c in base.columns and c not in keys]
+    at_key, at_rest = [f"k{i}" for i in range(len(keys))], [f"v{i}" for i in range(len(rest))]
 
     def side(df: DataFrame, in_branch: int) -> DataFrame:
-        return df.select(*(_comparable(F.col(f"`{c}`"), df.schema[c].dataType).alias(f"c{i}") for i, c in enumerate(common)), F.lit(in_branch).alias("side"))
+        values = [_comparable(F.col(f"`{c}`"), df.schema[c].dataType).alias(n) for c, n in zip([*keys, *rest], [*at_key, *at_rest], strict=True)]
+        return df.select(*values, F.lit(1 - in_branch).cast("long").alias("a"), F.lit(in_branch).cast("long").alias("b"))
 
-    at_key = [f"c{i}" for i in range(len(keys))]
-    rows = side(base, 0).union(side(branch, 1))
-    equal = rows.groupBy(*(f"c{i}" for i in range(len(common)))).agg(F.sum(1 - F.col("side")).alias("a"), F.sum("side").alias("b"))
-    by_key = equal.groupBy(*at_key).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("a") * F.col("b")).alias("same"))
-    a, b, same = F.col("a"), F.col("b"), F.col("same")
+    both = side(base, 0).union(side(branch, 1))  # gives both sides the wider type of each column
+    h, i = _hashes(both, at_rest)
+    rows = both.select(*at_key, h.alias("h"), i.alias("i"), "a", "b")
+    by_key = rows.groupBy(*at_key).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.expr("bit_xor(h)").alias("h"), F.expr("bit_xor(i)").alias("i"))
+    a, b = F.col("a"), F.col("b")
+    single, many = (a == 1) & (b == 1), (a > 0) & (b > 0) & ((a > 1) | (b > 1))
+    equal = (F.col("h") == 0) & (F.col("i") == 0)
 
     def total(value: Column, name: str) -> Column:
         return F.coalesce(F.sum(value), F.lit(0)).cast("long").alias(name)
 
-    return by_key.agg(total(F.when(a == 0, b), "added"), total(F.when(b == 0, a), "removed"), total(F.when((a > 0) & (b > 0), a * b - same), "changed"), total(same, "unchanged"), total(((a > 0) & (b > 0) & ((a > 1) | (b > 1))).cast("int"), "repeated"))
+    one = F.lit(1).cast("long")
+    out = by_key.agg(total(F.when(a == 0, b), "added"), total(F.when(b == 0, a), "removed"), total(F.when(single & ~equal, one), "changed"), total(F.when(single & equal, one), "unchanged"), total(F.when(many, one), "repeated")).first()
+    added, removed, changed, unchanged, repeated = out
+    if repeated:
+        mine = rows
+        if repeated <= BROADCAST_KEYS:
+            hot = by_key.where(many).select(*(F.col(k).alias(f"of_{k}") for k in at_key))
+            mine = rows.join(F.broadcast(hot), reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in at_key)), "left_semi")
+        alike = mine.groupBy(*at_key, "h", "i").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        pairs = alike.groupBy(*at_key).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(a * b).alias("same")).where(many)
+        more = pairs.agg(total(a * b - F.col("same"), "changed"), total(F.col("same"), "unchanged")).first()
+        changed, unchanged = changed + more["changed"], unchanged + more["unchanged"]
+    return branch.sparkSession.createDataFrame([(added, removed, changed, unchanged, repeated)], "added long, removed long, changed long, unchanged long, repeated long")
 
 
 def changed_once(base: DataFrame, branch: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,30 +163,39 @@ def changed_once(base: DataFrame, branch: DataFrame, keys: list[str]) -> DataFra
 
 
 def row_hash(df: DataFrame) -> Column:
-    """MD5 of all columns as text in their order, set apart from each other and with nulls unlike any text."""
+    """MD5 of all columns as text in their order, each behind its length, so that no two rows read alike; a null has none."""
     parts = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        text = F.to_json(F.array_sort(F.map_entries(c))) if isinstance(f.dataType, T.MapType) else F.to_json(F.struct(c)) if isinstance(f.dataType, (T.StructType, T.ArrayType)) else c.cast("string")
-        parts.append(F.coalesce(F.concat(F.lit("+"), text), F.lit("-")))
-    return F.md5(F.concat_ws("\x1f", *parts))
+        if isinstance(f.dataType, T.BinaryType):
+            text = F.hex(c)
+        elif isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType)):
+            entries = F.array_sort(F.map_entries(c)) if isinstance(f.dataType, T.MapType) else c
+            text = F.when(c.isNotNull(), F.to_json(F.struct(entries), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}))
+        else:
+            text = c.cast("string")
+        parts.append(F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.md5(F.concat(F.lit(""), *parts))
 
 
 def diff_hash(base: DataFrame, branch: DataFrame, keep: tuple[str, ...] = ("added", "removed"), multiset: bool = False) -> DataFrame:
-    """change_type and the row, for rows whose hash the other side lacks (with ``multiset``: has fewer times)."""
-    a, b = base.withColumn("_row_hash", row_hash(base)), branch.withColumn("_row_hash", row_hash(branch))
+    """change_type and the row, for rows whose hash the other side lacks (with ``multiset``: has fewer times).
+
+    Columns of any name are allowed; one named change_type is kept beside the operator's own."""
+    own, theirs, n, m, k, i, row = free_names([*base.columns, *branch.columns], "hash", "theirs", "n", "m", "k", "i", "row")
+    a, b = base.withColumn(own, row_hash(base)), branch.withColumn(own, row_hash(branch))
     out = None
-    for kind, one, other in (("added", b, a), ("removed", a, b)):
+    for kind, one, other, columns in (("added", b, a, branch.columns), ("removed", a, b, base.columns)):
         if kind not in keep:
             continue
         if multiset:
-            had = other.groupBy(F.col("_row_hash").alias("_h")).agg(F.count("*").alias("_n"))
-            counted = one.groupBy("_row_hash").agg(F.count("*").alias("_m"), F.first(F.struct(*(F.col(f"`{c}`") for c in one.columns if c != "_row_hash"))).alias("_row"))
-            more = counted.join(had, F.col("_row_hash") == F.col("_h"), "left").withColumn("_k", F.col("_m") - F.coalesce("_n", F.lit(0))).where("_k > 0")
-            rows = more.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int")))).select("_row.*")
+            had = other.groupBy(F.col(own).alias(theirs)).agg(F.count("*").alias(n))
+            counted = one.groupBy(own).agg(F.count("*").alias(m), F.first(F.struct(*(F.col(f"`{c}`") for c in columns))).alias(row))
+            more = counted.join(had, F.col(own) == F.col(theirs), "left").withColumn(k, F.col(m) - F.coalesce(F.col(n), F.lit(0))).where(F.col(k) > 0)
+            rows = more.withColumn(i, F.explode(F.sequence(F.lit(1).cast("long"), F.col(k)))).select(f"{row}.*")
         else:
-            rows = one.join(other.select("_row_hash"), "_row_hash", "left_anti").drop("_row_hash")
-        rows = rows.select(F.lit(kind).alias("change_type"), *(F.col(f"`{c}`") for c in rows.columns))
+            rows = one.join(other.select(F.col(own).alias(theirs)), F.col(own) == F.col(theirs), "left_anti")
+        rows = rows.select(F.lit(kind).alias("change_type"), *(F.col(f"`{c}`") for c in columns))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out
 

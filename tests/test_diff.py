@@ -29,6 +29,28 @@ def test_hash_tells_apart_what_text_alone_would_not(spark):
     assert diff_hash(a, b).count() == 4
 
 
+def test_hash_with_separators_and_clashing_names(spark):
+    a, b = frame(spark, [("a\x1f+b", "c"), ("1:a", "")], "p string, q string"), frame(spark, [("a", "b\x1f+c"), ("1:a0:", None)], "p string, q string")
+    assert diff_hash(a, b).count() == 4
+    schema = "id long, _row_hash string, _diff_hash int, _DIFF_n int, _n int"
+    a, b = frame(spark, [(1, "x", 1, 1, 1), (2, "y", 2, 2, 2)], schema), frame(spark, [(1, "z", 1, 1, 1), (2, "y", 2, 2, 2), (2, "y", 2, 2, 2)], schema)
+    rows = {r["change_type"]: r.asDict() for r in diff_hash(a, b).collect()}
+    assert rows == {"added": {"change_type": "added", "id": 1, "_row_hash": "z", "_diff_hash": 1, "_DIFF_n": 1, "_n": 1}, "removed": {"change_type": "removed", "id": 1, "_row_hash": "x", "_diff_hash": 1, "_DIFF_n": 1, "_n": 1}}
+    assert sorted((r["id"], r["_row_hash"]) for r in diff_hash(a, b, ("added",), multiset=True).collect()) == [(1, "z"), (2, "y")]
+
+
+def test_counts_tell_nested_nulls_and_types_apart(spark):
+    schema = "id long, p string, q string, a array<string>, s struct<x:string,y:string>, m map<string,string>, b binary"
+    same = (0, None, "x", ["x"], ("x", None), {"k": None}, b"\xff")
+    others = [(1, "x", None), (2, None, None, [None, "x"]), (3, None, None, ["x"], (None, "x")), (4, None, None, None, None, {"k": "v"}), (5, None, None, None, None, None, b"\xfe")]
+    news = [(1, None, "x"), (2, None, None, ["x", None]), (3, None, None, ["x"], ("x", None)), (4, None, None, None, None, {"k": None}), (5, None, None, None, None, None, b"\xfd")]
+    wide = lambda rows: frame(spark, [same, *((*r, *[None] * (7 - len(r))) for r in rows)], schema)
+    assert diff_counts(wide(others), wide(news), ["id"]).first().asDict() == {"added": 0, "removed": 0, "changed": 5, "unchanged": 1, "repeated": 0}
+    assert diff_hash(wide(others), wide(news), ("added",)).count() == 5
+    a, b = frame(spark, [(1, 2), (2, 3)], "id int, v int"), frame(spark, [(1, 2.0), (2, 3.5)], "id long, v double")
+    assert diff_counts(a, b, ["id"]).first().asDict() == {"added": 0, "removed": 0, "changed": 1, "unchanged": 1, "repeated": 0}
+
+
 def test_schema(spark):
     a, b = frame(spark, []), frame(spark, [], "id long, v string, extra double")
     assert schema_delta(a.schema, b.schema) == [("extra", "added", None, "double")]
