@@ -10,7 +10,7 @@ from pathlib import Path
 import yaml
 
 from . import config
-from .envelope import envelope, event_writer
+from .envelope import Answer, event_writer
 from .errors import BranchlineError, ConfigError, Exit
 from .project import Project
 
@@ -81,7 +81,7 @@ def init(a: argparse.Namespace) -> dict:
     config.refuse_secrets(body)
     (root / "models").mkdir(parents=True, exist_ok=True)
     path.write_text(yaml.safe_dump(body, sort_keys=False))
-    return envelope("init", {"config": str(path), "models": str(root / "models")})
+    return Answer("init", {"config": str(path), "models": str(root / "models")}).as_dict()
 
 
 def perform(a: argparse.Namespace) -> dict:
@@ -92,7 +92,7 @@ def perform(a: argparse.Namespace) -> dict:
         from .mcp_server import serve
 
         serve(project)
-        return envelope("mcp", {})
+        return Answer("mcp").as_dict()
     where = {"change_set": a.change_set, "branch": a.branch}
     events = {"on_event": event_writer(a.verb)} if getattr(a, "events", False) else {}
     if a.verb == "run":
@@ -130,7 +130,7 @@ def main(argv: list[str] | None = None) -> int:
         show(perform(a), a.json)
         return Exit.OK
     except BranchlineError as e:
-        show(e.payload or envelope(command, {}, ok=False, errors=[str(e)]), a.json)
+        show(e.payload or Answer(command, errors=[str(e)]).as_dict(), a.json)
         if e.payload:
             print(f"error: {e}", file=sys.stderr)
         return int(e.status)

@@ -45,9 +45,9 @@ def tools(project: Project) -> dict[str, Callable[..., dict]]:
         """Fast-forward production to a change-set's branch."""
         return answered(lambda: project.promote(ff_only, dry_run, change_set))
 
-    def branch_create(name: str, from_ref: str | None = None) -> dict:
-        """Make a data branch."""
-        return answered(lambda: project.branch_create(name, from_ref))
+    def branch_create(name: str, from_ref: str | None = None, change_set: str | None = None) -> dict:
+        """Make a data branch, for a change-set if one is named."""
+        return answered(lambda: project.branch_create(name, from_ref, change_set))
 
     def branch_list() -> dict:
         """All change-sets and their data branches."""
@@ -61,7 +61,11 @@ def tools(project: Project) -> dict[str, Callable[..., dict]]:
         """Drop a data branch and its pins."""
         return answered(lambda: project.branch_discard(name))
 
-    return {f.__name__: f for f in (run, diff, estimate, status, promote, branch_create, branch_list, branch_show, branch_discard)}
+    def gc(before_days: float | None = None, dry_run: bool = True) -> dict:
+        """Drop branches past their time, pins that nothing holds and unreachable snapshots; by default only say which."""
+        return answered(lambda: project.gc(before_days, dry_run))
+
+    return {f.__name__: f for f in (run, diff, estimate, status, promote, branch_create, branch_list, branch_show, branch_discard, gc)}
 
 
 def serve(project: Project) -> None:

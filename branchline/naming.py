@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import getpass
 import hashlib
+import itertools
 import re
 
 LONGEST = 255
@@ -18,11 +19,16 @@ def ref_name(name: str, replacements: dict[str, str] | None = None) -> str:
 
 
 def apart_from(ref: str, taken: set[str], user: str | None = None) -> str:
-    """``ref``, or with the user's name and a hash behind it where ``ref`` is taken."""
-    if ref not in taken:
-        return ref
-    who = re.sub(r"[^A-Za-z0-9]", "", user if user is not None else getpass.getuser()) or "user"
-    return f"{ref}__{who[:12]}{hashlib.sha256(f'{ref}:{who}'.encode()).hexdigest()[:6]}"[:LONGEST]
+    """``ref`` if it is free, else the first free ``<ref>__<user><hash>``; a long ref gives way to what sets it apart."""
+    owner = "".join(c for c in (getpass.getuser() if user is None else user) if c.isascii() and c.isalnum())[:16] or "user"
+    found = ref
+    for attempt in itertools.count():
+        if found not in taken:
+            return found
+        mark = hashlib.blake2b(f"{attempt} {ref}".encode(), digest_size=4, person=owner.encode()).hexdigest()
+        tail = f"__{owner}{mark}"
+        found = ref[: LONGEST - len(tail)] + tail
+    raise AssertionError("unreachable")
 
 
 def pin_tag(prefix: str, branch: str, table: str) -> str:

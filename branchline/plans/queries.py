@@ -153,9 +153,9 @@ def empty_base_diff(spark, sf_dir):
     return diffs.diff_rows(p.store.read("m"), p.store.read("m", "work"), ["o_orderkey"])
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT o_orderkey, o_totalprice FROM orders")
 def overwrite_replaces(spark, sf_dir):
-    p = project(spark, sf_dir, {"m": "select o_orderkey from orders where o_orderkey % 2 = 0"}, ("orders",))
+    p = project(spark, sf_dir, {"m": "select o_orderkey, o_totalprice from orders"}, ("orders",))
     for _ in range(2):
         p.run(force=True, change_set="work")
     return p.store.read("m", "work")
@@ -185,7 +185,7 @@ MODEL_SQL = {
     "model_alias_join": (("orders", "customer", "nation"), "select n.n_name, cast(count(*) as bigint) as n_orders, round(sum(o.o_totalprice), 1) as total from orders as o join customer c on o.o_custkey = c.c_custkey join nation n on c.c_nationkey = n.n_nationkey group by n.n_name"),
     "model_subquery_in": (("orders", "customer"), "select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_totalprice > 150000) and not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')"),
     "model_union_except": (("nation", "supplier", "customer"), "select n_nationkey as k from nation except select s_nationkey from supplier where s_acctbal > 9000 union select c_nationkey from customer where c_acctbal > 9990"),
-    "model_window_total": (("lineitem",), "select l_orderkey, l_linenumber, l_extendedprice, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, l_tax, l_discount) as rn from lineitem where l_orderkey % 5 = 0"),
+    "model_window_total": (("lineitem",), "select l_orderkey, l_linenumber, l_extendedprice, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate, l_tax, l_discount) as rn from lineitem"),
     "model_filter_clause": (("orders",), "select o_orderpriority, cast(count(*) filter (where o_orderstatus = 'F') as bigint) as n_f, cast(count(*) as bigint) as n from orders group by o_orderpriority"),
     "model_grouping_sets": (("customer",), "select c_mktsegment, c_nationkey, cast(count(*) as bigint) as n from customer group by grouping sets ((c_mktsegment, c_nationkey), (c_mktsegment), ())"),
     "model_null_safe": (("orders",), "select o_orderkey from orders where nullif(o_orderstatus, 'F') is not distinct from null"),
@@ -284,8 +284,11 @@ def diff_composite_key(spark, sf_dir):
     return diffs.diff_counts(a, b, ["conv_id", "turn"]).drop("repeated")
 
 
-NULLS = "select nullif(c_custkey, 7) as k, c_nationkey as v from customer where c_custkey < 300"
-NULLS_EDIT = "select nullif(c_custkey, 7) as k, case when c_custkey % 4 = 0 then null else c_nationkey end as v from customer where c_custkey between 5 and 320"
+NULLS = "select nullif(c_custkey, 7) as k, c_nationkey as v from customer"
+NULLS_EDIT = (
+    "select nullif(c_custkey, 7) as k, case when c_custkey % 4 = 0 then null else c_nationkey end as v from customer where c_custkey % 11 <> 5"
+    " union all select -1 - c_custkey as k, c_nationkey as v from customer where c_custkey % 10 = 3"
+)
 
 
 @query(summary_sql(f"WITH a AS ({NULLS}), b AS ({NULLS_EDIT})", "b.k IS NOT DISTINCT FROM a.k", "(b.v IS DISTINCT FROM a.v)"))
@@ -357,6 +360,74 @@ def diff_hash_multiset(spark, sf_dir):
     return diffs.diff_hash(a, b, ("added",), multiset=True).groupBy("n_regionkey").agg(F.count("*").alias("n"))
 
 
+SPLIT = "select concat(n_name, chr(31), '+b') as p, 'c' as q from nation"
+SPLIT_EDIT = "select n_name as p, concat('b', chr(31), '+c') as q from nation"
+
+
+@query(SPLIT_EDIT)
+def diff_hash_separators(spark, sf_dir):
+    """Rows that read alike once their columns are joined by a separator are told apart."""
+    a, b, _ = edited(spark, sf_dir, SPLIT, SPLIT_EDIT, "nation")
+    return diffs.diff_hash(a, b, ("added",)).drop("change_type")
+
+
+@query("SELECT n_nationkey, 'x' AS _row_hash FROM nation WHERE n_nationkey = 3")
+def diff_hash_clash(spark, sf_dir):
+    """A column of the name that a helper could have is compared and kept."""
+    a, b, _ = edited(spark, sf_dir, "select n_nationkey, n_name as _row_hash from nation", "select n_nationkey, case when n_nationkey = 3 then 'x' else n_name end as _row_hash from nation", "nation")
+    return diffs.diff_hash(a, b, ("added",)).drop("change_type")
+
+
+KEYED = f"-- key: o_orderkey\n{BASE}", f"-- key: o_orderkey\n{EDIT}"
+COUNTS_SQL = f"SELECT 'mart' AS table_name, added, removed, changed FROM ({summary_sql(PAIR, ON, DIFFER)})"
+
+
+@query(COUNTS_SQL)
+def diff_dump_summary(spark, sf_dir):
+    """The summary that the diff verb writes beside its files."""
+    import json
+    from pathlib import Path
+
+    p = edited(spark, sf_dir, *KEYED)[2]
+    folder = Path(p.diff(change_set="edit", rows=5)["data"]["diff_dir"])
+    found = json.loads((folder / "summary.json").read_text())
+    return spark.createDataFrame([(t, d["added"], d["removed"], d["changed"]) for t, d in found.items()], "table_name string, added long, removed long, changed long")
+
+
+@query(PAIR + f"SELECT b.o_orderkey, b.o_totalprice FROM b JOIN a ON {ON} WHERE {DIFFER} ORDER BY b.o_orderkey LIMIT 5")
+def diff_samples_as_json(spark, sf_dir):
+    """The changed rows that the diff verb shows."""
+    import json
+    from pathlib import Path
+
+    p = edited(spark, sf_dir, *KEYED)[2]
+    folder = Path(p.diff(change_set="edit", rows=5)["data"]["diff_dir"])
+    shown = json.loads((folder / "mart.json").read_text())["changed_samples"]
+    return spark.createDataFrame([(r["o_orderkey"], r["o_totalprice"]) for r in shown], "o_orderkey long, o_totalprice double")
+
+
+@query(PAIR + f"SELECT 'added' AS change_type, b.* FROM b ANTI JOIN a ON {ON} UNION ALL SELECT 'removed', a.* FROM a ANTI JOIN b ON {ON} UNION ALL SELECT 'changed', b.* FROM b JOIN a ON {ON} WHERE {DIFFER}")
+def diff_full_rows(spark, sf_dir):
+    """All differing rows, as the executors have written them."""
+    p = edited(spark, sf_dir, *KEYED)[2]
+    return spark.read.parquet(p.diff(change_set="edit", full=True, rows=0)["data"]["tables"][0]["full_rows"])
+
+
+@query("SELECT * FROM (VALUES ('status', 'added'), ('o_custkey', 'removed'), ('o_totalprice', 'changed')) t(column_name, status)")
+def diff_schema_only(spark, sf_dir):
+    p = edited(spark, sf_dir, BASE, "select o_orderkey, cast(o_totalprice as int) as o_totalprice, o_orderstatus as status from orders")[2]
+    found = p.diff(change_set="edit", schema_only=True)["data"]["tables"][0]
+    return spark.createDataFrame([(c, s) for s in ("added", "removed", "changed") for c in found[f"schema_{s}"]], "column_name string, status string")
+
+
+@query(COUNTS_SQL)
+def promote_shows_diff(spark, sf_dir):
+    """What a promotion would change, before it does."""
+    p = edited(spark, sf_dir, *KEYED)[2]
+    found = p.promote(dry_run=True, change_set="edit")["data"]["diff"]
+    return spark.createDataFrame([(t, d["added"], d["removed"], d["changed"]) for t, d in found.items()], "table_name string, added long, removed long, changed long")
+
+
 @query(PAIR + f"SELECT b.* FROM b JOIN a ON {ON} WHERE {DIFFER} ORDER BY b.o_orderkey LIMIT 10")
 def diff_sample_topk(spark, sf_dir):
     a, b, _ = edited(spark, sf_dir)
@@ -419,6 +490,20 @@ def ast_hash_equivalence(spark, sf_dir):
     return spark.createDataFrame([(k, meta.hash(a) == meta.hash(b)) for k, (a, b) in HASH_PAIRS.items()], "name string, same boolean")
 
 
+@query("SELECT * FROM (VALUES ('SELEC FRM nope', 6::INTEGER), ('select 1 as a', 0::INTEGER), ('select (1', 6::INTEGER)) t(text, exit_status)")
+def parse_errors(spark, sf_dir):
+    from ..errors import BranchlineError
+
+    meta, rows = SqlMeta(spark), []
+    for text in ("SELEC FRM nope", "select 1 as a", "select (1"):
+        try:
+            meta.hash(text)
+            rows.append((text, 0))
+        except BranchlineError as e:
+            rows.append((text, int(e.status)))
+    return spark.createDataFrame(rows, "text string, exit_status int")
+
+
 @query("SELECT * FROM (VALUES ('stg'), ('mid'), ('mart')) t(name)")
 def refresh_stale_models(spark, sf_dir):
     p = project(spark, sf_dir, {"stg": "select * from nation", "mid": "select * from stg", "mart": "select * from mid", "other": "select * from region"}, ("nation", "region"))
@@ -475,6 +560,21 @@ def drift_report(spark, sf_dir):
     return spark.createDataFrame([(d.table, d.kind, d.drifted) for d in drift_of(p.store, p.state.find("work"))], "table_name string, kind string, drifted boolean")
 
 
+@query("SELECT * FROM (VALUES ('nation', 'pin', 3::INTEGER)) t(table_name, kind, exit_status)")
+def status_reports_drift(spark, sf_dir):
+    from ..errors import DriftError
+
+    p = project(spark, sf_dir, {"mart": "select n_name from nation"}, ("nation",))
+    p.run(force=True, change_set="work")
+    p.store.append("nation", p.store.read("nation"))
+    try:
+        p.status("work")
+        rows = []
+    except DriftError as e:
+        rows = [(d["table"], d["kind"], int(e.status)) for d in e.payload["data"]["data"]["drifted"]]
+    return spark.createDataFrame(rows, "table_name string, kind string, exit_status int")
+
+
 @query(EDIT)
 def promote_fast_forward(spark, sf_dir):
     p = edited(spark, sf_dir)[2]
@@ -512,6 +612,16 @@ def estimate_rollup(spark, sf_dir):
     return spark.createDataFrame([(t["table"], t["role"], t["records"]) for t in tables], "table_name string, role string, records long")
 
 
+@query("SELECT * FROM (VALUES ('customer', true), ('orders', true), ('mart', false)) t(table_name, has_bytes)")
+def estimate_bytes(spark, sf_dir):
+    """Bytes of registered inputs are those of their files."""
+    p = project(spark, sf_dir, {"mart": "select * from orders join customer on o_custkey = c_custkey"}, ("orders", "customer"))
+    found = p.estimate(models="mart", change_set="work")["data"]
+    if found["est_bytes_read"] != sum(t["bytes"] for t in found["tables"]):
+        raise AssertionError("the sum is not that of the tables")
+    return spark.createDataFrame([(t["table"], t["bytes"] > 1000) for t in found["tables"]], "table_name string, has_bytes boolean")
+
+
 @query("SELECT * FROM (VALUES ('branchline.branch', 'edit'), ('branchline.changeset', 'edit'), ('branchline.model', 'mart')) t(name, value)")
 def provenance_of_main_head(spark, sf_dir):
     p = edited(spark, sf_dir)[2]
@@ -537,12 +647,13 @@ def gc_expired(spark, sf_dir):
     return p.store.refs_df().select("table_name", "ref")
 
 
-@query("SELECT * FROM (VALUES ('work'), ('work__later')) t(name)")
+@query("SELECT 'work' AS first_name, 'work__' AS second_begins, true AS second_is_free, 8::INTEGER AS hash_digits")
 def branch_names(spark, sf_dir):
     p = project(spark, sf_dir, {"m": "select * from region"}, ("region",))
     made = p.branch_create("work", change_set="a")["data"]["branch"]
     again = p.branch_create("work", change_set="b")["data"]["branch"]
-    return spark.createDataFrame([(made,), ("work__later" if again.startswith("work__") else again,)], "name string")
+    digits = len(again) - len(again.rstrip("0123456789abcdef")) if len(again) > 14 else 0
+    return spark.createDataFrame([(made, again[:6], again not in p._refs() - {again} and again != made, min(digits, 8))], "first_name string, second_begins string, second_is_free boolean, hash_digits int")
 
 
 @query("SELECT * FROM (VALUES ('feature_x_1'), ('a_b'), ('unnamed')) t(name)")

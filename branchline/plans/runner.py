@@ -102,7 +102,7 @@ class Runner:
             session.conf.set(key, value)
         if self.on_session:
             self.on_session(session)
-        store = SnapshotStore(session, self.store.root)
+        store = self.store.on(session)
         sql = model.sql
         for i, (name, snapshot) in enumerate(sorted(read.items())):
             view = name if "." not in name else f"_input_{i}"

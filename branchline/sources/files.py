@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 from urllib.parse import urlparse
 
 from pyspark.sql import SparkSession
 
+from ..errors import ConfigError
+
 
 class LocalFiles:
     def create(self, path: str, text: str) -> bool:
@@ -40,9 +43,17 @@ class LocalFiles:
     def delete(self, path: str) -> None:
         shutil.rmtree(path, ignore_errors=True)
 
+    def remove(self, path: str) -> None:
+        """Delete a file; one that is gone already does not matter."""
+        Path(path).unlink(missing_ok=True)
+
+
+#: File systems whose rename is atomic and fails where the name exists, which commits rely on. Fixed values.
+SAFE = frozenset({"hdfs", "viewfs", "abfs", "abfss"})
+
 
 class HadoopFiles:
-    """Through the session's Hadoop configuration; ``create`` relies on the store's exclusive create."""
+    """Through the session's Hadoop configuration; ``create`` writes beside the name and renames, so readers see whole files."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.jvm = spark._jvm
@@ -52,17 +63,17 @@ class HadoopFiles:
         return self.jvm.org.apache.hadoop.fs.Path(path)
 
     def create(self, path: str, text: str) -> bool:
-        try:
-            out = self.fs.create(self._path(path), False)
-        except Exception as e:
-            if "AlreadyExists" in str(e) or "already exists" in str(e):
-                return False
-            raise
+        folder, _, name = path.rpartition("/")
+        beside = self._path(f"{folder}/.new-{uuid.uuid4().hex}-{name}")
+        out = self.fs.create(beside, False)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        return True
+        done = not self.fs.exists(self._path(path)) and self.fs.rename(beside, self._path(path))
+        if not done:
+            self.fs.delete(beside, False)
+        return bool(done)
 
     def read(self, path: str) -> str:
         with_stream = self.fs.open(self._path(path))
@@ -78,10 +89,15 @@ class HadoopFiles:
     def delete(self, path: str) -> None:
         self.fs.delete(self._path(path), True)
 
+    def remove(self, path: str) -> None:
+        self.fs.delete(self._path(path), False)
+
 
 def files_for(spark: SparkSession, root: str) -> tuple[LocalFiles | HadoopFiles, str]:
     """File operations for a root, and the root as they take it."""
     url = urlparse(root)
     if url.scheme in ("", "file"):
         return LocalFiles(), os.path.abspath(url.path)
+    if url.scheme not in SAFE:
+        raise ConfigError(f"a warehouse on {url.scheme}:// cannot commit safely, as its renames are no atomic step; use {', '.join(sorted(SAFE))}, a local path, or an Iceberg catalog")
     return HadoopFiles(spark, root), root.rstrip("/")

@@ -24,6 +24,12 @@ class IcebergStore:
         except Exception as e:
             raise ConfigError("this catalog needs the Iceberg runtime on Spark's class path") from e
 
+    def on(self, session: SparkSession) -> IcebergStore:
+        """The same tables, read through another session."""
+        other = object.__new__(IcebergStore)
+        other.spark, other.catalog, other.root = session, self.catalog, self.root
+        return other
+
     def _id(self, name: str) -> str:
         return f"{self.catalog}.{name}"
 

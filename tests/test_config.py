@@ -40,6 +40,25 @@ def test_secrets():
 def test_names():
     assert ref_name("feature/a b--c") == "feature_a_b_c" and ref_name("//") == "unnamed" and len(ref_name("x" * 999)) == 255
     assert apart_from("a", {"b"}) == "a" and apart_from("a", {"a"}, "me").startswith("a__me")
+    first = apart_from("a", {"a"}, "me")
+    assert apart_from("a", {"a", first}, "me") not in ("a", first) and apart_from("a", {"a"}, "you") != first
+    long = "x" * 255
+    assert len(apart_from(long, {long}, "me")) == 255 and "__me" in apart_from(long, {long}, "me")
+
+
+def test_nested_settings():
+    tree = {"a": {"b": [1, {"c": "${X}"}, []], "d": {}}, "e": None}
+    assert config.planted(config.leaves(tree)) == tree and config.planted(config.leaves({})) == {}
+    assert config.with_variables(tree, {"X": "y"})["a"]["b"][1] == {"c": "y"}
+    assert config.from_environment({"BRANCHLINE_A__B": "1", "BRANCHLINE_A__C__D": "[x]", "BRANCHLINE_PROFILE": "p", "OTHER__A": "2"}) == {"a": {"b": 1, "c": {"d": ["x"]}}}
+    with pytest.raises(ConfigError):
+        config.refuse_secrets({"tokens": ["in clear"]})
+
+
+def test_profile_of_the_environment(tmp_path):
+    text = "branching: {ttl_days: 1}\nprofiles: {p: {branching: {ttl_days: 2}}, q: {branching: {ttl_days: 5}}}\n"
+    assert load(tmp_path, text, {"BRANCHLINE_PROFILE": "p"}).branching.ttl_days == 2
+    assert load(tmp_path, text, {"BRANCHLINE_PROFILE": "p"}, profile="q").branching.ttl_days == 5
 
 
 def test_git(tmp_path):

@@ -197,7 +197,8 @@ def test_agent_tools(project):
     t = tools(project)
     answer = t["run"](models="stg_orders")
     assert answer["ok"] and answer["branch"]["change_set"].startswith("mcp-")
-    assert t["diff"]("nope")["error"]["code"] == "config" and len(t) == 9
+    assert t["diff"]("nope")["error"]["code"] == "config" and len(t) == 10
+    assert t["gc"]()["data"]["dry_run"] and t["branch_create"]("b", change_set="mine")["branch"]["change_set"] == "mine"
 
 
 def test_cli(project, capsys, monkeypatch):
