@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, prepare
 
-#: Vectors the index is fitted on at most; vectors of a list; lists at most; copies of a vector; border for copies; rows of a shard.
-SAMPLE, LIST, LISTS, COPIES, BORDER, SHARD = 32_768, 256, 4096, 2, 1.05, 16_384
+#: Vectors the index is fitted on at most, and bytes of them in double precision at most.
+SAMPLE, SAMPLE_BYTES = 65_536, 128 << 20
+#: Vectors of a list; lists at most; copies of a vector; border for copies; rows of a shard.
+LIST, LISTS, COPIES, BORDER, SHARD = 64, 8192, 2, 1.01, 16_384
 #: Share of the sample's true neighbours that the calibrated ratio must reach.
-TARGET = 0.985
+TARGET = 0.95
 
 
 def usable(df: DataFrame, vector: str) -> DataFrame:
@@ -106,8 +108,10 @@ def fit(sample: np.ndarray, n: int, longest: float, k: int, seed: int = 5) -> In
     c = index.centroids
     near = min(lists - 1, 24)
     if near:
-        d = index.distances(c)
-        links = [set(map(int, np.argpartition(d[i], near)[: near + 1])) | {(i + 1) % lists, (i - 1) % lists} for i in range(lists)]
+        links = []
+        for at in range(0, lists, 256):  # in blocks: all distances at once would be lists squared
+            closest = np.argpartition(index.distances(c[at : at + 256]), near, axis=1)[:, : near + 1]
+            links += [set(of) | {(at + i + 1) % lists, (at + i - 1) % lists} for i, of in enumerate(closest.tolist())]
         for i, of in enumerate(links):
             for j in list(of):
                 links[j].add(i)  # both ways
@@ -115,7 +119,9 @@ def fit(sample: np.ndarray, n: int, longest: float, k: int, seed: int = 5) -> In
     index.per_shard = max(1, round(lists * SHARD / max(1, n * 1.6)))
     # calibration: how far, relative to the nearest list, the lists of true neighbours lie
     queries = rng.permutation(len(sample))[: min(256, len(sample))]
-    rows, of = index.copies(sample)
+    found = [index.copies(sample[at : at + 1024]) for at in range(0, len(sample), 1024)]
+    rows = np.concatenate([r + 1024 * i for i, (r, _) in enumerate(found)]) if found else np.zeros(0, np.int64)
+    of = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
     first = np.searchsorted(rows, np.arange(len(sample)))
     owner = np.full((len(sample), COPIES), -1)
     owner[rows, np.arange(len(rows)) - first[rows]] = of
@@ -177,14 +183,15 @@ def nearest(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector: s
         return spark.createDataFrame([], schema)
     dim, n, longest = sizes[0]["d"], sizes[0]["n"], math.sqrt(sizes[0]["m"])
     base, asked = base.where(F.size("v") == dim), rows_of(queries).where(F.size("v") == dim)
-    part = base.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / n))).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    sample = np.array([r["v"] for r in part.toLocalIterator()], dtype=np.float64).reshape(-1, dim)
-    index = fit(sample, n, longest, k)
-    shared = spark.sparkContext.broadcast(index)  # LISTS centroids at most
 
     def vectors_of(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
+    some = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+    part = base.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 40)) < int((1 << 40) * min(1.0, some / n))).orderBy(F.xxhash64("id"), "id").limit(some)
+    index = fit(vectors_of(part.select("v").toArrow().column(0).combine_chunks()), n, longest, k)
+    shared = spark.sparkContext.broadcast(index)  # LISTS centroids at most
+
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, lists = shared.value.copies(vectors_of(batch.column(1)))
         got = batch.take(pa.array(rows))
