@@ -1,10 +1,13 @@
 """SimHash near-duplicates through vantage-point trees (operator 5).
 
-Distinct fingerprints are the points of a Hamming space. A top tree of vantage points, fitted on a bounded sample, deals
-every fingerprint to the one shard that is its home; the triangle bound tells which other shards can hold points within
-the radius, and only a fingerprint whose ball crosses a boundary visits the other side (from the inner side alone, as one
-visit is enough for a pair). A shard then searches its points by a vantage-point tree of its own, exactly. It returns a
-spanning forest of the links it found, never all pairs, and the forests of all shards are joined into components.
+Distinct fingerprints are the points of a Hamming space. A top tree of vantage points, fitted on a sample, deals every
+fingerprint to the one shard that is its home; the triangle bound tells which other shards can hold points within the radius,
+and only a fingerprint whose ball crosses a boundary visits the other side (from the inner side alone, as one visit is enough
+for a pair). A shard then searches its points by a vantage-point tree of its own, exactly. It returns a spanning forest of the
+links it found, never all pairs, and the forests of all shards are joined into components.
+
+Every level of the top tree costs visits, the more the less the fingerprints cluster, so there are no more shards than keep
+the cluster busy and a shard within SHARD fingerprints (2 MB): its size does not grow with the data.
 """
 
 from __future__ import annotations
@@ -19,14 +22,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import map_batches, materialize, prepare
+from .common import free_names, map_batches, materialize, prepare
 from .components import connected_components
 
 SEED = 42
 WORDS = 3
 RADIUS = 2
-#: Fingerprints that a shard holds on average, and at most so many that the top tree is fitted on.
-SHARD, SAMPLE = 8192, 65536
+#: Fingerprints that a shard is planned for at least and at most, and shards for each shuffle partition between these.
+LEAST, SHARD, SPREAD = 8192, 1 << 18, 2
+#: Fingerprints that the top tree is fitted on: so many at least, and so many for each shard.
+SAMPLE, PER_SHARD = 65_536, 64
+#: Rows of one fingerprint from which it is joined by broadcast; there are never more than 10,000 of those.
+HOT = 100_000
 #: Ids of documents to drop that may be broadcast: 16 MB at most.
 BROADCAST_IDS = 1_000_000
 #: Points below which a shard's tree compares directly.
@@ -190,14 +197,25 @@ def links_within(home: np.ndarray, visit: np.ndarray, radius: int, seed: int = 1
     return forest.root
 
 
-def near_links(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
-    """Links (u, v) between the distinct fingerprints ``fp``, whose components are those of all pairs within ``radius``."""
+def shards_for(n: int, partitions: int, least: int = LEAST, shard: int = SHARD) -> int:
+    """Shards for ``n`` fingerprints: SPREAD for each partition, but none smaller or larger than planned."""
+    return max(1, math.ceil(n / shard), min(SPREAD * partitions, math.ceil(n / least)))
+
+
+def near_links(classes: DataFrame, radius: int = RADIUS, shard: int | None = None) -> DataFrame:
+    """Links (u, v) between the distinct fingerprints ``fp``, whose components are those of all pairs within ``radius``.
+
+    The driver fits the top tree on 65,536 fingerprints or, beyond a thousand shards, on 64 for each shard: one in 4096."""
     spark = classes.sparkSession
     prepare(spark)
     n = classes.count()
-    picked = classes.orderBy(F.xxhash64("fp")).limit(sample).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
-    tree = Tree(np.sort(picked), min(math.ceil(n / shard), max(1, len(picked) // 16)))
-    top = spark.sparkContext.broadcast(tree)  # bounded by the sample
+    shards = math.ceil(n / shard) if shard else shards_for(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    some = max(SAMPLE, PER_SHARD * shards)
+    # a threshold first, so that only about as many as are needed are sorted
+    share = F.pmod(F.xxhash64("fp", F.lit(9)), F.lit(1 << 40)) < int((1 << 40) * min(1.0, 1.2 * some / max(1, n)))
+    picked = classes.where(share).orderBy(F.xxhash64("fp")).limit(some).select("fp").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
+    tree = Tree(np.sort(picked), min(shards, max(1, len(picked) // 16)))
+    top = spark.sparkContext.broadcast(tree)  # a node for each shard
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -219,25 +237,36 @@ def near_links(classes: DataFrame, radius: int = RADIUS, shard: int = SHARD, sam
     return dealt.groupBy("shard").applyInArrow(lambda t: pa.Table.from_batches(list(search(iter(t.to_batches())))) if t.num_rows else t, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, seed: int = SEED, radius: int = RADIUS, shard: int | None = None) -> DataFrame:
     """doc_id, fp, component_id of every row: the smallest doc_id among the documents that links reach, itself included.
 
     A null text counts as empty (fingerprint zero, linked like any other). Null ids keep their rows; a component of null
     ids alone has a null component_id. Repeated rows are kept. Only doc_id and text are read. Empty in, empty out.
     """
-    prints, by_print = components_of(docs, words, seed, radius, shard)
-    # a print that very many documents share is split between tasks by adaptive execution
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    prints, by_print, hot = components_of(docs, words, seed, radius, shard)
+    return with_components(prints, by_print, hot).select("doc_id", "fp", "component_id")
+
+
+def with_components(prints: DataFrame, by_print: DataFrame, hot: int) -> DataFrame:
+    """``prints`` with root and component_id. Fingerprints of at least ``hot`` rows are few, and are broadcast."""
+    if not hot:
+        return prints.join(by_print.drop("n"), "fp")
+    many = F.broadcast(by_print.where(F.col("n") >= hot).drop("n"))
+    rest = prints.join(many.select("fp"), "fp", "left_anti").join(by_print.where(F.col("n") < hot).drop("n"), "fp")
+    return rest.unionByName(prints.join(many, "fp"))
 
 
-def components_of(docs: DataFrame, words: int, seed: int, radius: int, shard: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every row, and (fp, root, component_id) of every distinct fingerprint; root tells components apart."""
+def components_of(docs: DataFrame, words: int, seed: int, radius: int, shard: int | None) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, fp) of every row; (fp, root, component_id, n) of every distinct fingerprint, where root tells components
+    apart; and the number of rows from which a fingerprint counts as hot, 0 if none does."""
     prints = materialize(fingerprints(docs, words, seed))
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    parts = materialize(connected_components(near_links(classes, radius, shard)))
+    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    total, most = classes.agg(F.sum("n"), F.max("n")).first()
+    hot = max(HOT, (total or 0) // 10_000)
+    parts = connected_components(near_links(classes, radius, shard))
     of = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints, of.select("fp", "root").join(ids, "root").select("fp", "root", "component_id")
+    return prints, of.select("fp", "root", "n").join(ids, "root").select("fp", "root", "component_id", "n"), hot if (most or 0) >= hot else 0
 
 
 def hex_of(fp: Column) -> Column:
@@ -245,17 +274,17 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS, words: int = WORDS, seed: int = SEED, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def keep_one(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS, words: int = WORDS, seed: int = SEED, radius: int = RADIUS, shard: int | None = None) -> DataFrame:
     """The documents of ``docs``, exactly one of each component: one whose doc_id is the component_id.
 
     A row of null id stays where its component has no other. Rows that share an id, or have none, are told apart by their
     texts' fingerprints, so that each of them stands for its own component. Ids that go, or that several rows share, are
     broadcast where they are few (``broadcast_ids``, counted first); more of them meet the documents in a shuffled join.
     """
-    prints, by_print = components_of(docs, words, seed, radius, shard)
+    prints, by_print, hot = components_of(docs, words, seed, radius, shard)
     by_print = materialize(by_print)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")).cast("int")
-    ids = materialize(prints.join(by_print, "fp").groupBy("doc_id").agg(F.sum(stays).alias("stay"), F.count("*").alias("n")))
+    ids = materialize(with_components(prints, by_print, hot).groupBy("doc_id").agg(F.sum(stays).alias("stay"), F.count("*").alias("n")))
 
     def few(found: DataFrame) -> DataFrame:
         return F.broadcast(found) if found.limit(broadcast_ids + 1).count() <= broadcast_ids else found.hint("merge")
@@ -272,15 +301,13 @@ def keep_one(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS, words: int = W
 
 def one_of_each_root(docs: DataFrame, by_print: DataFrame, words: int, seed: int) -> DataFrame:
     """One row of ``docs`` for each component whose component_id is its doc_id, null included."""
-    at, helper = docs.columns.index("text"), "_component_print"
-    while helper in docs.columns:
-        helper += "_"
+    at, (helper, root, least) = docs.columns.index("text"), free_names(docs.columns, "print", "root", "least")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(t or "", words, seed) for t in batch.column(at).to_pylist()], dtype=np.uint64)
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, helper])
 
     printed = map_batches(docs, run, StructType([*docs.schema.fields, StructField(helper, LongType())]))
-    parts = by_print.select(F.col("fp").alias(helper), F.col("root").alias(helper + "root"), F.col("component_id").alias(helper + "id"))
-    mine = printed.join(parts, helper).where(F.col("doc_id").eqNullSafe(F.col(helper + "id")))
-    return mine.dropDuplicates([helper + "root"]).select(docs.columns)
+    parts = by_print.select(F.col("fp").alias(helper), F.col("root").alias(root), F.col("component_id").alias(least))
+    mine = printed.join(parts, helper).where(F.col("doc_id").eqNullSafe(F.col(least)))
+    return mine.dropDuplicates([root]).select(docs.columns)
