@@ -14,17 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import free_names, prepare, slices
 
 K = 128
 WORDS = 5
 #: Bytes of text that are hashed together; a longer text stands alone.
 BLOCK = 4 << 20
-#: Documents that one range of ids holds at least, and the number of ranges at most.
-RANGE_ROWS, RANGES = 96, 5_000
+#: Documents that one range of ids holds at least, the number of ranges at most, and sampled ids for each range.
+RANGE_ROWS, RANGES, PER_RANGE = 96, 100_000, 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -143,7 +143,7 @@ def fingerprint_documents(docs: DataFrame, k: int = K, words: int = WORDS) -> Da
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = sketch_all([t.encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()], k, words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([written(a) for a in found], pa.string()), pa.array([distinct(a, k) for a in found], pa.float64())], names=["doc_id", "fingerprint", "n_shingles"])
 
@@ -151,6 +151,24 @@ def fingerprint_documents(docs: DataFrame, k: int = K, words: int = WORDS) -> Da
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string, n_shingles double")
 
 
+def merge_fingerprints(parts: DataFrame, *by: str, k: int = K) -> DataFrame:
+    """The ``by`` columns, fingerprint and n_shingles of the union of all texts of a group, from fingerprints of its parts.
+
+    Only DataFrame functions: the hashes of the written sketches are made distinct, and the k smallest of each group stay,
+    which are taken in each task before anything moves, so that no group gathers more than k hashes of a task. A null
+    fingerprint counts as an empty text's; groups without hashes have an empty one. Null group keys are groups of their own.
+    """
+    hash_, rank, joined = free_names([*by], "hash", "rank", "joined")
+    words = F.filter(F.split(F.regexp_replace(F.coalesce("fingerprint", F.lit("")), "(.{16})", "$1,"), ","), lambda x: x != "")
+    each = parts.select(*by, F.explode_outer(words).alias(hash_)).distinct()
+    first = each.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(F.col(hash_).asc_nulls_last()))).where(F.col(rank) <= k)
+    merged = first.groupBy(*by).agg(F.concat_ws("", F.sort_array(F.collect_list(hash_))).alias(joined))
+    # as in ``distinct``: exact below k, else from the k-th smallest hash (its upper 52 bits are all that a double holds)
+    size = (F.length(joined) / 16).cast("int")
+    kth = F.conv(F.substring(F.col(joined), 16 * (k - 1) + 1, 13), 16, 10).cast("double") / 2.0**52
+    return merged.select(*by, F.col(joined).alias("fingerprint"), F.when(size < k, size.cast("double")).otherwise((k - 1) / kth).alias("n_shingles"))
+
+
 def _edited(text: str, following: str) -> str:
     half = len(text) // 2
     return text[: len(text) - half] + following[:half]
@@ -171,9 +189,12 @@ def fingerprint_edits(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFr
     rows = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"), key.alias("key"))
     n, low = rows.agg(F.count("*"), F.min("key")).first()
     cuts = max(1, min(RANGES, n // RANGE_ROWS))
-    shares = [i / cuts for i in range(1, cuts)]
-    points = rows.agg(F.percentile_approx("key", shares, max(10_000, 8 * cuts))).first()[0] if shares else []
-    starts = spark.sparkContext.broadcast(np.unique(np.array([low if low is not None else 0, *points], dtype=np.int64)))  # RANGES at most
+    points = np.zeros(0, dtype=np.int64)
+    if cuts > 1:  # every so many of a sample of the ids, of at most about RANGES * PER_RANGE
+        part = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(7)), F.lit(1 << 40)) < int((1 << 40) * min(1.0, PER_RANGE * cuts / n))
+        ids = np.sort(rows.select("key").where(part).toArrow().column(0).to_numpy())
+        points = ids[np.linspace(0, len(ids), cuts, endpoint=False).astype(np.int64)[1:]] if len(ids) else points
+    starts = spark.sparkContext.broadcast(np.unique(np.concatenate(([low if low is not None else 0], points)).astype(np.int64)))  # RANGES at most
 
     @F.pandas_udf("array<int>")
     def ranges(keys: pd.Series) -> pd.Series:
@@ -212,7 +233,7 @@ def fingerprint_edits(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFr
             return pa.RecordBatch.from_arrays(cols, names=names)
 
         batch_type = pa.int64()
-        for batch in batches:
+        for batch in slices(batches):
             batch_type = batch.schema.field(0).type
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[3] and held and held[-1][3] and held[-1][2] == row[2]:

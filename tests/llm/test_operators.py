@@ -272,6 +272,34 @@ def test_short_texts_are_exact():
     assert sketches.containment(empty, one) == 1
 
 
+def test_sketches_merge_as_rows(spark):
+    docs = [(r["doc_id"], r["text"]) for r in documents(spark).select("doc_id", "text").collect()]
+    parts = sketches.fingerprint_documents(documents(spark)).withColumn("g", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 3))
+    empty = spark.createDataFrame([(1, "", 0.0, 77), (2, None, 0.0, 78)], "doc_id long, fingerprint string, n_shingles double, g long")
+    got = {r["g"]: r for r in sketches.merge_fingerprints(parts.unionByName(empty), "g").collect()}
+    assert set(got) == {None, 1, 2, 77, 78} and got[77]["fingerprint"] == got[78]["fingerprint"] == "" and got[77]["n_shingles"] == 0
+    for g in (None, 1, 2):
+        want = sketches.bottom(np.concatenate(sketches.shingle_hashes([(t or "").encode() for i, t in docs if (i % 3 or None) == g])), sketches.K)
+        assert got[g]["fingerprint"] == sketches.written(want) and got[g]["n_shingles"] == pytest.approx(sketches.distinct(want), rel=1e-6)
+
+
+def test_near_columns_against_exact_resemblance(spark):
+    """near_edited and near_next of every document of the table, against the Jaccard similarity of the whole shingle sets."""
+    docs = sorted((r["doc_id"], r["text"] or "") for r in documents(spark).select("doc_id", "text").collect())
+    got = {r["doc_id"]: r for r in sketches.fingerprint_edits(documents(spark)).collect()}
+
+    def exact(a, b):
+        s, t = shingles(a), shingles(b)
+        return len(s & t) / len(s | t) if s or t else 1.0
+
+    off = []
+    for k, (i, t) in enumerate(docs):
+        following = docs[(k + 1) % len(docs)][1]
+        half = len(t) // 2
+        off += [got[i]["near_edited"] - exact(t, t[: len(t) - half] + following[:half]), got[i]["near_next"] - exact(t, following)]
+    assert max(map(abs, off)) < 0.2 and np.sqrt(np.mean(np.square(off))) < 0.045
+
+
 def edits(rows):
     rows = sorted(((i is not None, i or 0), i, t or "") for i, t in rows)
     out = []
@@ -417,6 +445,40 @@ def test_links_are_exact():
     assert homes == len(fp) and (whole.root == want.root).all()
 
 
+def test_shards_and_visits_from_small_to_large():
+    """Sizes of shards stay as planned while fingerprints grow tenfold, even where they do not cluster at all."""
+    rng, said = np.random.default_rng(12), {}
+    for n in (200_000, 2_000_000):
+        fp = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        shards = simhash.shards_for(len(fp), 8)
+        tree = simhash.Tree(np.sort(rng.choice(fp, simhash.SAMPLE, replace=False)), shards)
+        parts = [(len(h), len(v)) for at in range(0, len(fp), 1 << 18) for _, h, v in tree.route(fp[at : at + (1 << 18)], 2)]
+        home = np.zeros(tree.leaves, int)
+        for at in range(0, len(fp), 1 << 18):
+            for s, h, _ in tree.route(fp[at : at + (1 << 18)], 2):
+                home[s] += len(h)
+        said[n] = (shards, int(home.max()), sum(v for _, v in parts) / len(fp))
+    print(said)
+    for shards, largest, visits in said.values():
+        assert largest <= 2.5 * 2_000_000 / shards and largest < 1.5 * simhash.SHARD and visits < 3
+
+
+@pytest.mark.parametrize("hot", [3, 10**9])
+def test_hot_fingerprints_and_hubs_are_broadcast(spark, monkeypatch, hot):
+    from branchline.llm import components
+
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(components, "HUB", hot)
+    docs = spark.createDataFrame([(i, None if i % 3 == 0 else f"some text {i % 5} of words and words {i % 5}") for i in range(60)] + [(100, "one of its own kind")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert got == dict(zip(texts, simple_components(list(texts), [simple_fingerprint(t) for t in texts.values()]), strict=True))
+    star = spark.range(1, 50).selectExpr("id as u", "0L as v").unionAll(spark.range(60, 80).selectExpr("id as u", "59L as v"))
+    roots = {r["node"]: r["root"] for r in connected_components(star).collect()}
+    assert roots == {**dict.fromkeys(range(50), 0), **dict.fromkeys(range(59, 80), 59)}
+    assert len(simhash.keep_one(docs.withColumn("lang", F.lit("en"))).collect()) == len(set(got.values()))
+
+
 def test_components_of_a_chain(spark):
     links = spark.range(40).selectExpr("id as u", "id + 1 as v").unionAll(spark.createDataFrame([(100, 99), (100, 100), (99, 100)], "u long, v long"))
     got = {r["node"]: r["root"] for r in connected_components(links).collect()}
