@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_names, materialize
 
 #: Weights are sizes to this power unless they are given; the seed; sources whose rates may be broadcast; copies of rates beyond that.
 TEMPERATURE, SEED, BROADCAST_SOURCES, SALTS = 0.7, 17, 10_000, 32
@@ -29,14 +29,16 @@ def uniform(*parts: Column) -> Column:
 def rates(docs: DataFrame, weights: DataFrame | None = None, total: float | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """source, rate for each source of ``docs``.
 
-    ``weights`` has source and weight (not negative; sources it lacks get 0, and it may name others); without it weights are
-    sizes to the power ``temperature``. They are scaled to sum 1 over the sources that occur. ``total`` is the expected
+    ``weights`` has source and weight (sources it lacks, and null weights, count as 0, and it may name others; negative or
+    infinite weights and NaN are an error); without it weights are sizes to the power ``temperature``. They are scaled to sum 1 over the sources that occur. ``total`` is the expected
     number of rows, by default as many as there are. A null source is a source of its own.
     """
     sizes = docs.groupBy("source").agg(F.count("*").alias("n"))
     if weights is None:
         weighed = sizes.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(float(temperature))))
     else:
+        if weights.where(~F.coalesce((F.col("weight") >= 0) & (F.col("weight") < float("inf")), F.col("weight").isNull())).limit(1).count():
+            raise ValueError("weights must be finite numbers and not negative")
         given = weights.groupBy(F.col("source").alias("_given")).agg(F.sum("weight").alias("w"))
         weighed = sizes.join(given, sizes["source"].eqNullSafe(given["_given"]), "left").select("source", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
     sums = weighed.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))
@@ -62,19 +64,18 @@ def tables(rate: Column) -> tuple[Column, Column]:
     return draws, F.aggregate(F.sequence(F.lit(1), upto), start, add, lambda acc: acc["cdf"])
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, total: float | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, total: float | None = None, temperature: float = TEMPERATURE, seed: int = SEED, names: tuple[str, str] = ("copy", "shuffle_key")) -> DataFrame:
     """The rows of ``docs`` repeated by their Poisson counts, with ``copy`` (from 1) and ``shuffle_key``, in shuffled order.
 
     Rows of equal doc_id have equal counts, and each is repeated; null ids and null sources count as the text 'null' and as a
-    source. Texts are not looked at. Columns of ``docs`` named copy or shuffle_key are replaced. Partitions follow the key,
+    source. Texts are not looked at. ``names`` are those of the two columns; columns of ``docs`` of these names are replaced,
+    others of any name are kept. Partitions follow the key,
     and rows are sorted by it within them. Empty in, empty out.
     """
     spark = docs.sparkSession
-    docs = docs.drop("copy", "shuffle_key")
-    own = "_mix"  # what the names of helper columns begin with: nothing that ``docs`` has
-    while any(c.startswith(own) for c in docs.columns):
-        own += "_"
-    source, n_draws, table, salt, salt_of, u, count = (f"{own}_{x}" for x in ("source", "draws", "cdf", "salt", "of", "u", "count"))
+    copy, shuffle_key = names
+    docs = docs.drop(*names)
+    source, n_draws, table, salt, salt_of, u, count = free_names([*docs.columns, *names], "source", "draws", "cdf", "salt", "of", "u", "count")
     draws, cdf = tables(F.col("rate"))
     by_source = materialize(rates(docs, weights, total, temperature).select(F.col("source").alias(source), draws.alias(n_draws), cdf.alias(table)))
     ids = docs["doc_id"]
@@ -93,10 +94,10 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, total: float | None =
     one = F.size(F.filter(F.col(table), lambda c: c <= F.col(u)))
     counted = joined.withColumn(u, uniform(F.lit(seed), ids, F.lit(1)))
     counted = counted.withColumn(count, F.when(F.col(n_draws) == 1, one).otherwise(drawn)).where(F.col(count) > 0)
-    out = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(count))))
-    key = F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}:order"), F.coalesce(ids.cast("string"), F.lit("null")), F.col("copy").cast("string"))), 1, 16)
-    out = out.select(*(docs[c] for c in docs.columns), "copy", key.alias("shuffle_key"))
+    out = counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(count))))
+    key = F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}:order"), F.coalesce(ids.cast("string"), F.lit("null")), F.col(copy).cast("string"))), 1, 16)
+    out = out.select(*(docs[c] for c in docs.columns), copy, key.alias(shuffle_key))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # the key is uniform: equal ranges of it are equal shares, without sampling for a range partitioning
-    share = F.floor(F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("double") / 4294967296.0 * n).cast("int")
-    return out.repartitionById(n, share).sortWithinPartitions("shuffle_key")
+    share = F.floor(F.conv(F.substring(shuffle_key, 1, 8), 16, 10).cast("double") / 4294967296.0 * n).cast("int")
+    return out.repartitionById(n, share).sortWithinPartitions(shuffle_key)

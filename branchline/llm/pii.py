@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -87,18 +88,26 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Further spans that touch no strict one, and not each other."""
-    taken = [(a, b) for _, a, b in base]
     found = []
     # as wide as the pattern: every match has one of these
     if "@" in text or any(x in text for x in AT_SIGNS):
         found += [("email", m.start(), m.end()) for m in _AT.finditer(text) if re.search(r"dot|\(|\[|\{|\.", m[0], re.I)]
     for kind, pattern in (("card", _LOOSE_CARD), ("phone", _LOOSE_PHONE), ("id", _LOOSE_ID)):
         found += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
-    out = []
+    # strict spans joined where they overlap; what was found comes by start, so a search and the last one taken are enough
+    ends: list[int] = []
+    starts: list[int] = []
+    for _, a, b in sorted(base, key=lambda x: x[1:]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    out: list[tuple[str, int, int]] = []
     for kind, a, b in sorted(found, key=lambda x: (x[1], -x[2])):
-        if not any(a < y and x < b for x, y in taken):
+        i = bisect_right(ends, a)
+        if (i == len(ends) or starts[i] >= b) and (not out or a >= out[-1][2]):
             out.append((kind, a, b))
-            taken.append((a, b))
     return out
 
 
@@ -290,7 +299,8 @@ def redact(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
 def redact_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with personal data in ``text`` replaced, and ``n_chars`` (if there) the new length.
 
-    Other columns are unchanged; a null text stays null. The model is estimated from all rows first.
+    Other columns are unchanged, whatever their names; a null text stays null. Null ids and repeated rows are treated like
+    any other. The model is estimated from all rows first. Empty in, empty out.
     """
     model = fit(candidates(docs))
     at = docs.columns.index("text")

@@ -375,6 +375,13 @@ def test_mixing_weights_large_rates_and_salts(spark, monkeypatch):
     assert sorted((r["doc_id"], r["copy"]) for r in again) == sorted((r["doc_id"], r["copy"]) for r in rows)
 
 
+@pytest.mark.parametrize("bad", [-1.0, float("nan"), float("inf")])
+def test_mixing_refuses_bad_weights(spark, bad):
+    weights = spark.createDataFrame([("s0", 1.0), ("s1", bad)], "source string, weight double")
+    with pytest.raises(ValueError):
+        mixing.rates(odd(spark), weights)
+
+
 def test_mixing_odd_rows(spark):
     rows = mixing.mix(odd(spark), total=10.0 * len(ODD)).collect()
     assert {r["source"] for r in rows} == {None, "s0", "s1"} and sum(r["doc_id"] == 4 for r in rows) % 2 == 0
@@ -554,6 +561,28 @@ def test_every_match_of_the_pattern_is_a_candidate(written):
     assert [(k, text[a:b]) for k, a, b in pii.loose_spans(text, pii.base_spans(text))] == [("email", written)]
 
 
+def test_loose_spans_of_long_texts():
+    rng = random.Random(4)
+    pieces = ["a@b.co", "(555) 234-5678", "555-234-5678", "john (at) x.com", "+1 555 234 5678", "123-45-6789", " ", "x", "1234 567890 12345", "4539 5787 6362 1486"]
+
+    def simple(text):
+        kept = [(a, b) for _, a, b in pii.base_spans(text)]
+        found = [("email", m.start(), m.end()) for m in pii._AT.finditer(text) if re.search(r"dot|\(|\[|\{|\.", m[0], re.I)]
+        found += [(k, m.start(), m.end()) for k, p in (("card", pii._LOOSE_CARD), ("phone", pii._LOOSE_PHONE), ("id", pii._LOOSE_ID)) for m in p.finditer(text)]
+        out = []
+        for k, a, b in sorted(found, key=lambda x: (x[1], -x[2])):
+            if not any(a < y and x < b for x, y in kept):
+                out.append((k, a, b))
+                kept.append((a, b))
+        return out
+
+    for _ in range(400):
+        text = " ".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+        assert pii.loose_spans(text, pii.base_spans(text)) == simple(text), text
+    long = "call (555) 234-5678 or a@b.co, " * 40_000
+    assert len(pii.loose_spans(long, pii.base_spans(long))) == 40_000
+
+
 def test_personal_data_of_odd_rows(spark):
     rows = pii.find_personal(odd(spark)).collect()
     assert len(rows) == len(ODD) and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in rows if r["doc_id"] in (2, 3, 7))
@@ -564,6 +593,9 @@ def test_personal_data_of_odd_rows(spark):
 
 def test_redaction(spark):
     rows = {r["doc_id"]: r for r in pii.redact_documents(odd(spark).where("doc_id is not null")).collect()}
+    everything = pii.redact_documents(odd(spark))
+    assert everything.columns == odd(spark).columns and sorted(str(r["text"]) for r in everything.where("doc_id is null").collect()) == ["None", "no id here"]
+    assert pii.redact_documents(odd(spark, [])).count() == 0
     assert rows[1]["text"] == "hello world <EMAIL>" and rows[1]["n_chars"] == 19 and rows[2]["text"] is None and rows[4]["text"] == LONG and rows[-5]["text"] == "call <PHONE> x"
     assert pii.redact("abcdef", [(0, 1, 4, True), (1, 2, 5, True)]) == "a<EMAIL>f"
 
@@ -911,6 +943,42 @@ def test_trigrams_by_code_points():
     assert counts.result() == want
 
 
+# -- where they run
+
+ELSEWHERE = """
+import os, sys
+from pathlib import Path
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {shared!r}).getOrCreate()
+spark.sparkContext.setLogLevel("ERROR")
+import __spark_entry__
+before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+queries = __spark_entry__.queries()
+for name in [q for q in queries if q == "pipeline" or q[2:3].isdigit()]:
+    print(name, queries[name](spark, {sf!r}).count(), flush=True)
+assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+assert spark.range(5).count() == 5
+assert list(Path({shared!r}).glob("branchline*"))
+"""
+
+
+def test_from_another_folder_and_nothing_is_left(tmp_path):
+    """All eleven queries where workers can import this package neither from the working folder nor from PYTHONPATH."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root, shared, cwd = str(Path(__file__).resolve().parents[2]), tmp_path / "shared", tmp_path / "cwd"
+    shared.mkdir()
+    cwd.mkdir()
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", ELSEWHERE.format(root=root, shared=str(shared), sf=SF)], cwd=cwd, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert len(done.stdout.split("\n")) == 12 and not list(shared.glob("branchline*"))
+
+
 # -- the queries
 
 
