@@ -96,3 +96,24 @@ def test_null_texts_pass(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:3]:
         docs = materialize(stage(spark, docs, str(tmp_path)))
     assert sorted(r["doc_id"] for r in docs.select(F.col("doc_id")).collect()) == [0, 1] and np.isfinite(docs.count())
+
+
+def test_repeated_rows_null_ids_and_clashing_columns(spark, tmp_path):
+    """Columns named like the operators' own go through all stages unchanged."""
+    text = "a plain text with its own words, number {} of them, and {} more to tell it apart"
+    rows = [(i, text.format(i * 7, i * 31), "en", f"s{i % 2}", None, 777, i, i, "p") for i in range(30)]
+    rows += [rows[3], rows[3], (None, text.format(1, 2), "en", None, None, 777, -1, -1, "p"), (None, None, None, None, None, 777, -2, -2, "p")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copy int, shuffle_key long, _own_copy long, fp string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    names, seen = docs.columns, {r[6]: r for r in rows}
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        docs = materialize(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == names
+        found = docs.collect()
+        assert all((r["copy"], r["fp"], r["_own_copy"]) == (777, "p", r["shuffle_key"]) and r["doc_id"] == seen[r["shuffle_key"]][0] for r in found)
+        if i == 1:
+            assert sorted(r["shuffle_key"] for r in found) == sorted(seen)  # one of each text
+    n = docs.count()
+    assert corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).count() == n
