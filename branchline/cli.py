@@ -30,6 +30,8 @@ def parser() -> argparse.ArgumentParser:
 
     p = add("init", "write branchline.yml and a models folder")
     p.add_argument("--warehouse", default=".branchline/warehouse")
+    p.add_argument("--catalog", default="parquet", choices=config.CATALOGS)
+    p.add_argument("--uri", help="the catalog's address, where its type needs one")
     p.add_argument("--namespace")
     p.add_argument("--no-git", action="store_true")
     p = add("run", "build what has changed on a branch")
@@ -75,13 +77,18 @@ def init(a: argparse.Namespace) -> dict:
     path = root / config.FILE
     if path.exists():
         raise ConfigError(f"{path} exists")
-    body: dict = {"version": 1, "warehouse": {"catalog": {"type": "parquet", "warehouse": a.warehouse}}, "branching": {"git_sync": not a.no_git}}
+    body: dict = {"version": 1, "warehouse": {"catalog": {"type": a.catalog, "warehouse": a.warehouse}}, "branching": {"git_sync": not a.no_git}}
+    if a.uri:
+        body["warehouse"]["catalog"]["uri"] = a.uri
+    elif a.catalog in config.NEED_URI:
+        raise ConfigError(f"--uri is needed for a catalog of type {a.catalog}")
     if a.namespace:
         body["warehouse"]["namespace"] = a.namespace
     config.refuse_secrets(body)
     (root / "models").mkdir(parents=True, exist_ok=True)
     path.write_text(yaml.safe_dump(body, sort_keys=False))
-    return Answer("init", {"config": str(path), "models": str(root / "models")}).as_dict()
+    advice = [] if a.catalog == "parquet" else ["credentials: leave them to the environment, or refer to variables, as in warehouse.catalog: {s3.access-key-id: ${AWS_ACCESS_KEY_ID}}"]
+    return Answer("init", {"config": str(path), "models": str(root / "models")}, warnings=advice).as_dict()
 
 
 def perform(a: argparse.Namespace) -> dict:
@@ -112,11 +119,21 @@ def perform(a: argparse.Namespace) -> dict:
     return {"create": lambda: project.branch_create(a.name, a.from_ref, a.change_set), "list": project.branch_list, "show": lambda: project.branch_show(a.name), "discard": lambda: project.branch_discard(a.name)}[a.action]()
 
 
+def shortened(names: list, most: int = 3) -> str:
+    """The first names of a list, and how many more there are."""
+    first = ", ".join(map(str, names[:most])) or "none"
+    return f"{first} and {len(names) - most} more" if len(names) > most else first
+
+
 def show(answer: dict, as_json: bool) -> None:
     if as_json:
         print(json.dumps(answer, indent=2, default=str))
         return
     for key, value in answer["data"].items():
+        if key == "preflight" and isinstance(value, dict):
+            for name, found in value.items():
+                print(f"{name}: {shortened(found)}")
+            continue
         print(f"{key}: {json.dumps(value, default=str) if isinstance(value, (dict, list)) else value}")
     for kind in ("warnings", "errors"):
         for line in answer[kind]:

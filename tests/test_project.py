@@ -214,6 +214,27 @@ def test_cli(project, capsys, monkeypatch):
 def test_cli_init(tmp_path):
     assert cli.main(["init", "--project", str(tmp_path), "--no-git", "--namespace", "n"]) == 0
     assert cli.main(["init", "--project", str(tmp_path)]) == 2
+    assert cli.main(["init", "--project", str(tmp_path / "a"), "--catalog", "rest"]) == 2
+    (tmp_path / "b").mkdir()
+    assert cli.main(["init", "--project", str(tmp_path / "b"), "--catalog", "rest", "--uri", "http://catalog", "--warehouse", "s3://b/w"]) == 0
+
+
+def test_preflight_is_cut_to_three():
+    assert cli.shortened([]) == "none" and cli.shortened(["a", "b", "c"]) == "a, b, c" and cli.shortened(list("abcde")) == "a, b, c and 2 more"
+
+
+def test_iceberg_settings(tmp_path):
+    from branchline import config
+    from branchline.session import iceberg_settings, store_settings
+
+    (tmp_path / config.FILE).write_text("warehouse: {catalog: {type: sql, warehouse: 's3://b/w', uri: 'postgresql+psycopg2://h/db', s3.access-key-id: '${K}', client.region: eu}}")
+    cfg = config.load(tmp_path, environ={"K": "key"})
+    found = iceberg_settings(cfg)
+    assert found["spark.sql.catalog.lake.type"] == "jdbc" and found["spark.sql.catalog.lake.uri"] == "jdbc:postgresql://h/db" and "aws-bundle" in found["spark.jars.packages"]
+    assert store_settings(cfg) == {"spark.hadoop.fs.s3a.access.key": "key", "spark.hadoop.fs.s3a.endpoint.region": "eu"}
+    (tmp_path / config.FILE).write_text("version: 1")
+    plain = config.load(tmp_path, environ={})
+    assert iceberg_settings(plain) == {} and store_settings(plain) == {}
 
 
 def test_stream_is_appended_once(project, spark, tmp_path):
