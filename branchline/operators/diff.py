@@ -108,7 +108,12 @@ def diff_rows(base: DataFrame, branch: DataFrame, keys: list[str], keep: tuple[s
 
 
 def diff_counts(base: DataFrame, branch: DataFrame, keys: list[str]) -> DataFrame:
-    """One row: added, removed, changed, unchanged, repeated (keys that pair up more than once).
+    """``count_differences`` as a table of one row."""
+    return branch.sparkSession.createDataFrame([count_differences(base, branch, keys)], "added long, removed long, changed long, unchanged long, repeated long")
+
+
+def count_differences(base: DataFrame, branch: DataFrame, keys: list[str]) -> tuple[int, int, int, int, int]:
+    """added, removed, changed, unchanged, repeated (keys that pair up more than once).
 
     The numbers of the joined rows, without joining. Only the keys and a 128-bit hash of the other common columns move, once:
     each key sums its rows on either side and xors their hashes, which settles every key with at most one row a side. A key
@@ -147,7 +152,7 @@ def diff_counts(base: DataFrame, branch: DataFrame, keys: list[str]) -> DataFram
         pairs = alike.groupBy(*at_key).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(a * b).alias("same")).where(many)
         more = pairs.agg(total(a * b - F.col("same"), "changed"), total(F.col("same"), "unchanged")).first()
         changed, unchanged = changed + more["changed"], unchanged + more["unchanged"]
-    return branch.sparkSession.createDataFrame([(added, removed, changed, unchanged, repeated)], "added long, removed long, changed long, unchanged long, repeated long")
+    return added, removed, changed, unchanged, repeated
 
 
 def changed_once(base: DataFrame, branch: DataFrame, keys: list[str]) -> DataFrame:
@@ -294,7 +299,7 @@ def diff_tables(name: str, base: DataFrame, branch: DataFrame, keys: list[str] |
         out.added, out.removed = counts(rows, ("added", "removed")).first()
     else:
         order = usable_keys(base, branch, keys)
-        out.added, out.removed, out.changed, out.unchanged, repeated = diff_counts(base, branch, keys).first()
+        out.added, out.removed, out.changed, out.unchanged, repeated = count_differences(base, branch, keys)
         if repeated:
             out.warning = f"{repeated} keys occur more than once: each of their rows pairs up with each"
     if max_rows == 0:
