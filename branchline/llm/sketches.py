@@ -9,6 +9,7 @@ whole sequence of a shorter text. Hashes are made for a block of texts at once,
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ WORDS = 5
 BLOCK = 4 << 20
 #: Documents that one range of ids holds at least, the number of ranges at most, and sampled ids for each range.
 RANGE_ROWS, RANGES, PER_RANGE = 96, 100_000, 20
+#: Characters of a text that may bound a range inside one id, and sampled texts for each such range.
+HEAD, PER_HOT = 64, 8
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -174,40 +177,90 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def fingerprint_edits(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
-    """Fingerprints of every text and of its edited text, whose second half is taken from the next document.
+def _sampled(rows: DataFrame, share: float) -> DataFrame:
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(7)), F.lit(1 << 40))
+    return rows.where(part < int((1 << 40) * min(1.0, share)))
 
-    Next is the next row by ascending (doc_id, text), null ids first; after the last comes the first. Rows are dealt once,
-    to ranges of ids; the first row of a range is sent to the range before it as well, so every range knows what follows
-    its last row, and one task streams through its ranges in order. A null text counts as empty; rows with equal ids are
-    kept, each with the row after it. Only doc_id (an integer) and text are read. Empty in, empty out.
+
+def _bounds(rows: DataFrame) -> list[tuple[int, str]]:
+    """Ascending (key, head) at which ranges begin, RANGES at most; the first row of a range has them.
+
+    Most bounds are an id alone, with an empty head. An id that is due several bounds has so many rows that it is split by
+    the heads of their texts, which are sampled in a second pass over the rows of such ids.
     """
-    prepare(docs.sparkSession)
-    spark = docs.sparkSession
-    least = -(1 << 63)
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(least))
-    rows = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"), key.alias("key"))
-    n, low = rows.agg(F.count("*"), F.min("key")).first()
+    n, least = rows.agg(F.count("*"), F.min(F.struct("key", "head"))).first()
     cuts = max(1, min(RANGES, n // RANGE_ROWS))
-    points = np.zeros(0, dtype=np.int64)
+    bounds = {tuple(least) if least else (0, "")}
     if cuts > 1:  # every so many of a sample of the ids, of at most about RANGES * PER_RANGE
-        part = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(7)), F.lit(1 << 40)) < int((1 << 40) * min(1.0, PER_RANGE * cuts / n))
-        ids = np.sort(rows.select("key").where(part).toArrow().column(0).to_numpy())
-        points = ids[np.linspace(0, len(ids), cuts, endpoint=False).astype(np.int64)[1:]] if len(ids) else points
-    starts = spark.sparkContext.broadcast(np.unique(np.concatenate(([low if low is not None else 0], points)).astype(np.int64)))  # RANGES at most
+        ids = np.sort(_sampled(rows, PER_RANGE * cuts / n).select("key").toArrow().column(0).to_numpy())
+        points = ids[np.linspace(0, len(ids), cuts, endpoint=False).astype(np.int64)[1:]] if len(ids) else ids
+        found, times = np.unique(points, return_counts=True)
+        alone = set(found.tolist()) - {least[0]}
+        hot = dict(zip(found[times > 1].tolist(), times[times > 1].tolist(), strict=True))
+        if hot:
+            of_hot = F.broadcast(rows.sparkSession.createDataFrame([(i,) for i in hot], "key long"))  # RANGES / 2 ids at most
+            seen = _sampled(rows.select("key", "head"), PER_HOT * cuts / n).join(of_hot, "key", "left_semi").toPandas()
+            for i, heads in seen.groupby("key")["head"]:
+                heads = sorted(heads)
+                bounds |= {(int(i), heads[j]) for j in np.linspace(0, len(heads), hot[int(i)], endpoint=False).astype(int).tolist()}
+                alone.discard(int(i))
+        bounds |= {(i, "") for i in alone}
+    return sorted(bounds)
+
+
+def deal_ranges(docs: DataFrame) -> DataFrame:
+    """doc_id, text, key, range, after: every row in the range it belongs to, and what may follow the last row of a range.
+
+    Ranges are by (doc_id, text). A row that may be the first of its range is sent to the range before it as well, marked as
+    ``after``: of rows with the bound's id those whose text begins least in their batch, one of each text.
+    """
+    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))
+    text = F.coalesce(docs["text"], F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), key.alias("key"), F.substring(text, 1, HEAD).alias("head"))
+    bounds = _bounds(rows)
+    kept = docs.sparkSession.sparkContext.broadcast((np.array([i for i, _ in bounds], dtype=np.int64), [h for _, h in bounds]))
 
     @F.pandas_udf("array<int>")
-    def ranges(keys: pd.Series) -> pd.Series:
-        cut = starts.value
-        at = np.searchsorted(cut, keys.to_numpy(dtype=np.int64), side="right") - 1
-        first = cut[at] == keys.to_numpy(dtype=np.int64)
-        return pd.Series([[int(r), -1 - int((r - 1) % len(cut))] if f else [int(r)] for r, f in zip(at, first, strict=True)])
+    def ranges(keys: pd.Series, heads: pd.Series, digests: pd.Series) -> pd.Series:
+        ids, begins = kept.value
+        keys = keys.to_numpy(dtype=np.int64)
+        left, right = np.searchsorted(ids, keys), np.searchsorted(ids, keys, side="right")
+        at = right - 1
+        bounding = np.flatnonzero(right > left).tolist()
+        for row in bounding:
+            at[row] = bisect_right(begins, heads.iat[row], int(left[row]), int(right[row])) - 1
+        out = [[r] for r in at.tolist()]
+        first: dict[int, tuple[str, dict[int, int]]] = {}
+        for row in bounding:
+            r, head = int(at[row]), heads.iat[row]
+            if ids[r] != keys[row] or (begins[r] and begins[r] != head):
+                continue
+            if r not in first or head < first[r][0]:
+                first[r] = head, {}
+            if head == first[r][0]:
+                first[r][1][digests.iat[row]] = row
+        for r, (_, of) in first.items():
+            for row in of.values():
+                out[row].append(-1 - (r - 1) % len(begins))
+        return pd.Series(out)
 
     # a negative number: the row only tells what follows that range's last row
-    dealt = rows.withColumn("at", F.explode(ranges("key")))
-    dealt = dealt.select("doc_id", "text", "key", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("range"), (F.col("at") < 0).alias("after"))
-    n_out = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.repartition(n_out, "range").sortWithinPartitions("range", "after", "key", "text")
+    dealt = rows.withColumn("at", F.explode(ranges("key", "head", F.xxhash64("text"))))
+    return dealt.select("doc_id", "text", "key", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("range"), (F.col("at") < 0).alias("after"))
+
+
+def fingerprint_edits(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
+    """Fingerprints of every text and of its edited text, whose second half is taken from the next document.
+
+    Next is the next row by ascending (doc_id, text), null ids first; after the last comes the first. Rows are dealt once,
+    to ranges of ids and, where one id has the rows of several ranges, of texts; the first row of a range is sent to the
+    range before it as well, so every range knows what follows its last row, and one task streams through its ranges in
+    order. Rows with equal ids whose texts begin with the same HEAD characters stay together. A null text counts as empty;
+    rows with equal ids are kept, each with the row after it. Only doc_id (an integer) and text are read. Empty in, empty out.
+    """
+    prepare(docs.sparkSession)
+    n_out = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = deal_ranges(docs).repartition(n_out, "range").sortWithinPartitions("range", "after", "key", "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

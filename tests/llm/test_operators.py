@@ -331,6 +331,26 @@ def test_edited_texts_whole_table(spark, monkeypatch):
     assert all(prints[r["doc_id"]] == r["fingerprint"] for r in got)
 
 
+@pytest.mark.parametrize("hot", ["null id", "one id", "one text", "one beginning"])
+def test_an_id_with_a_third_of_all_rows_is_split(spark, monkeypatch, hot):
+    monkeypatch.setattr(sketches, "RANGE_ROWS", 10)
+    rng = random.Random(hot)
+    words = ["alpha", "beta", "gamma", "", "Ünder", "日本"]
+    rows = [(i, " ".join(rng.choices(words, k=9))) for i in range(1200)]
+    fixed = {"one text": "the same words each time", "one beginning": "x" * 70}.get(hot)
+    tail = (lambda k: "") if hot == "one text" else str
+    rows += [(None if hot == "null id" else 500, (fixed or " ".join(rng.choices(words, k=9))) + tail(k)) for k in range(600)]
+    docs = odd(spark, rows).repartition(5)
+    dealt = sketches.deal_ranges(docs).groupBy("range", "after").count().collect()
+    assert sum(r["count"] for r in dealt if not r["after"]) == len(rows)
+    if not fixed:  # else as the docstring says
+        assert max(r["count"] for r in dealt) < 80
+    if hot == "one text":  # a row of each batch
+        assert max(r["count"] for r in dealt if r["after"]) <= 10
+    got = sketches.fingerprint_edits(docs).collect()
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=str) == edits(rows)
+
+
 # -- 4 mixing
 
 
