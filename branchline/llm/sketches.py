@@ -28,6 +28,8 @@ BLOCK = 4 << 20
 RANGE_ROWS, RANGES, PER_RANGE = 96, 100_000, 20
 #: Characters of a text that may bound a range inside one id, and sampled texts for each such range.
 HEAD, PER_HOT = 64, 8
+#: Null ids come first.
+NULL_KEY = -(1 << 63)
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -188,14 +190,18 @@ def _bounds(rows: DataFrame) -> list[tuple[int, str]]:
     Most bounds are an id alone, with an empty head. An id that is due several bounds has so many rows that it is split by
     the heads of their texts, which are sampled in a second pass over the rows of such ids.
     """
-    n, least = rows.agg(F.count("*"), F.min(F.struct("key", "head"))).first()
+    n, low = rows.agg(F.count("*"), F.min("key")).first()
+    if not n:
+        return [(0, "")]
     cuts = max(1, min(RANGES, n // RANGE_ROWS))
-    bounds = {tuple(least) if least else (0, "")}
+    # only ids were read so far; of the texts, those of the least id are enough
+    of_least = (rows["doc_id"] == low) | rows["doc_id"].isNull() if low == NULL_KEY else rows["doc_id"] == low
+    bounds = {(low, rows.where(of_least).agg(F.min("head")).first()[0])}
     if cuts > 1:  # every so many of a sample of the ids, of at most about RANGES * PER_RANGE
         ids = np.sort(_sampled(rows, PER_RANGE * cuts / n).select("key").toArrow().column(0).to_numpy())
         points = ids[np.linspace(0, len(ids), cuts, endpoint=False).astype(np.int64)[1:]] if len(ids) else ids
         found, times = np.unique(points, return_counts=True)
-        alone = set(found.tolist()) - {least[0]}
+        alone = set(found.tolist()) - {low}
         hot = dict(zip(found[times > 1].tolist(), times[times > 1].tolist(), strict=True))
         if hot:
             of_hot = F.broadcast(rows.sparkSession.createDataFrame([(i,) for i in hot], "key long"))  # RANGES / 2 ids at most
@@ -214,7 +220,7 @@ def deal_ranges(docs: DataFrame) -> DataFrame:
     Ranges are by (doc_id, text). A row that may be the first of its range is sent to the range before it as well, marked as
     ``after``: of rows with the bound's id those whose text begins least in their batch, one of each text.
     """
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))
+    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_KEY))
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), key.alias("key"), F.substring(text, 1, HEAD).alias("head"))
     bounds = _bounds(rows)
