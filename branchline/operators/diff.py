@@ -3,7 +3,7 @@
 The rows of a keyed diff come from one null-safe full outer join with a mark on either side: added, removed, changed and
 unchanged rows out of one shuffle of each side; equal keys that occur more than once pair up with each other, as in the four
 separate joins it stands for. Its counts need no join at all: both sides are aggregated together by key, in one shuffle of
-keys and hashes. Without a key, rows are compared by a hash of all columns.
+keys and hashes into tasks of a bounded number of rows. Without a key, rows are compared by a hash of all columns.
 """
 
 from __future__ import annotations
@@ -21,8 +21,11 @@ from pyspark.sql import types as T
 from ..errors import ConfigError, MissingKey
 
 KINDS = ("added", "removed", "changed", "unchanged")
-#: Repeated keys that may be broadcast, to look at their rows alone.
-BROADCAST_KEYS = 100_000
+#: Rows that the counts give to one task, and at the most, where as many partitions as Spark writes without buffering rows
+#: do not suffice.
+TASK_ROWS, MOST_ROWS = 250_000, 1_250_000
+#: Groups of keys whose rows are counted first, to find keys with too many rows for one task.
+BUCKETS = 4096
 
 
 def schema_delta(base: T.StructType, branch: T.StructType) -> list[tuple[str, str, str | None, str | None]]:
@@ -116,10 +119,14 @@ def count_differences(base: DataFrame, branch: DataFrame, keys: list[str]) -> tu
     """added, removed, changed, unchanged, repeated (keys that pair up more than once).
 
     The numbers of the joined rows, without joining. Only the keys and a 128-bit hash of the other common columns move, once:
-    each key sums its rows on either side and xors their hashes, which settles every key with at most one row a side. A key
-    that occurs m times on one side and n times on the other stands for m times n pairs, of which as many are unchanged as
-    equal rows pair up; only such keys take a second step, which counts equal rows first. Both steps combine before they
-    shuffle, so a key with very many rows neither multiplies nor meets in a task. The counts are computed at once.
+    equal rows are counted on either side, then the rows of each key. A key that occurs m times on one side and n times on
+    the other stands for m times n pairs, of which as many are unchanged as equal rows pair up. The counts are computed at once.
+
+    Tasks that read hold no rows: nothing is combined there, and there are no more partitions than Spark writes one by one.
+    How many tasks count, of how many rows, follows from a first job that counts the rows of ``BUCKETS`` groups of keys. Where
+    so many partitions are too few, as for more than 250 million rows, part of the groups is read and counted after the other.
+    Groups with far more rows than others have a key that would meet in one task: their rows are dealt out whatever their
+    key and combined before they meet. Those alone are not read in parts: beyond 50 million of them, tasks grow with their number.
     """
     keys = usable_keys(base, branch, keys)
     rest = [c for c in branch.columns if c in base.columns and c not in keys]
@@ -127,31 +134,46 @@ def count_differences(base: DataFrame, branch: DataFrame, keys: list[str]) -> tu
 
     def side(df: DataFrame, in_branch: int) -> DataFrame:
         values = [_comparable(F.col(f"`{c}`"), df.schema[c].dataType).alias(n) for c, n in zip([*keys, *rest], [*at_key, *at_rest], strict=True)]
-        return df.select(*values, F.lit(1 - in_branch).cast("long").alias("a"), F.lit(in_branch).cast("long").alias("b"))
+        return df.select(*values, F.lit(in_branch).cast("long").alias("b"))
 
     both = side(base, 0).union(side(branch, 1))  # gives both sides the wider type of each column
     h, i = _hashes(both, at_rest)
-    rows = both.select(*at_key, h.alias("h"), i.alias("i"), "a", "b")
-    by_key = rows.groupBy(*at_key).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.expr("bit_xor(h)").alias("h"), F.expr("bit_xor(i)").alias("i"))
-    a, b = F.col("a"), F.col("b")
-    single, many = (a == 1) & (b == 1), (a > 0) & (b > 0) & ((a > 1) | (b > 1))
-    equal = (F.col("h") == 0) & (F.col("i") == 0)
+    rows = both.select(*at_key, h.alias("h"), i.alias("i"), "b")
+    # under a collation, equal texts may hash differently
+    bucket = F.pmod(F.xxhash64(F.lit(0), *(k for k in at_key if "collate" not in both.schema[k].dataType.simpleString())), F.lit(BUCKETS))
+    held = {r["bucket"]: r["count"] for r in both.groupBy(bucket.alias("bucket")).count().collect()}
+    hot = [k for k, m in held.items() if m > max(TASK_ROWS, 8 * sum(held.values()) // BUCKETS)]
+    many = sum(held[k] for k in hot)
+    few = sum(held.values()) - many
+    most = int(branch.sparkSession.conf.get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+
+    def dealt(df: DataFrame, n: int, *by: str) -> DataFrame:
+        return df.repartition(max(1, min(most, -(-n // TASK_ROWS))), *by)
 
     def total(value: Column, name: str) -> Column:
         return F.coalesce(F.sum(value), F.lit(0)).cast("long").alias(name)
 
-    one = F.lit(1).cast("long")
-    out = by_key.agg(total(F.when(a == 0, b), "added"), total(F.when(b == 0, a), "removed"), total(F.when(single & ~equal, one), "changed"), total(F.when(single & equal, one), "unchanged"), total(F.when(many, one), "repeated")).first()
-    added, removed, changed, unchanged, repeated = out
-    if repeated:
-        mine = rows
-        if repeated <= BROADCAST_KEYS:
-            hot = by_key.where(many).select(*(F.col(k).alias(f"of_{k}") for k in at_key))
-            mine = rows.join(F.broadcast(hot), reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in at_key)), "left_semi")
-        alike = mine.groupBy(*at_key, "h", "i").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        pairs = alike.groupBy(*at_key).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(a * b).alias("same")).where(many)
-        more = pairs.agg(total(a * b - F.col("same"), "changed"), total(F.col("same"), "unchanged")).first()
-        changed, unchanged = changed + more["changed"], unchanged + more["unchanged"]
+    def tally(alike: DataFrame) -> tuple[int, ...]:
+        """The five numbers of equal rows: n on both sides, b of them the branch's."""
+        n, b = F.col("n"), F.col("b")
+        a, same = n - b, F.col("same")
+        of_key = alike.groupBy(*at_key).agg(F.sum(n).alias("n"), F.sum(b).alias("b"), F.sum(a * b).alias("same"))
+        repeated = F.when((a > 0) & (b > 0) & (n > 2), F.lit(1).cast("long"))
+        return tuple(of_key.agg(total(F.when(a == 0, b), "added"), total(F.when(b == 0, a), "removed"), total(a * b - same, "changed"), total(same, "unchanged"), total(repeated, "repeated")).first())
+
+    row = [*at_key, "h", "i"]
+    counted = [F.count(F.lit(1)).alias("n"), F.sum("b").alias("b")]
+    found = [(0, 0, 0, 0, 0)]
+    parts = -(-few // (most * MOST_ROWS))
+    for p in range(parts):
+        mine = rows.where(~bucket.isin(hot)) if hot else rows
+        mine = mine.where(bucket % parts == p) if parts > 1 else mine
+        found.append(tally(dealt(mine, few // parts, *at_key).groupBy(*row).agg(*counted)))
+    if hot:
+        spread = dealt(rows.where(bucket.isin(hot)).withColumn("task", F.spark_partition_id()), many, *row, "task")
+        combined = spread.groupBy(*row, "task").agg(*counted)
+        found.append(tally(dealt(combined, many, *row).groupBy(*row).agg(F.sum("n").alias("n"), F.sum("b").alias("b"))))
+    added, removed, changed, unchanged, repeated = map(sum, zip(*found, strict=True))
     return added, removed, changed, unchanged, repeated
 
 

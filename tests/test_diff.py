@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from branchline.errors import ConfigError, MissingKey
+from branchline.operators import diff
 from branchline.operators.diff import changed_once, counts, diff_counts, diff_hash, diff_rows, diff_tables, jsonable, resolve_keys, schema_delta
 
 
@@ -123,3 +124,58 @@ def test_hot_key_is_counted_not_joined(spark):
     assert changed_once(a.limit(100), b.limit(40), ["k"]).count() == 40
     d = diff_tables("t", a.limit(100), b.limit(40), ["k"], 5)
     assert d.warning.startswith("1 keys") and len(d.samples["changed"]) == 5
+
+
+def rows_of_tasks(spark, group, f):
+    """The result of ``f``, and the largest number of rows that a task of its jobs got by a shuffle or held in memory after reading."""
+    spark.sparkContext.setJobGroup(group, group)
+    out = f()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    track, store, most, held = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore(), 0, 0
+    for stage in {s for j in track.getJobIdsForGroup(group) for s in track.getJobInfo(j).stageIds}:
+        tasks = store.taskList(stage, 0, 10_000)
+        for m in (tasks.apply(k).taskMetrics().get() for k in range(tasks.size())):
+            got = m.shuffleReadMetrics().recordsRead()
+            most, held = max(most, got), max(held, 0 if got else m.peakExecutionMemory())
+    return out, most, held
+
+
+@pytest.mark.parametrize(("most", "hot"), [(1_000_000, 0), (500, 0), (1_000_000, 90_000), (500, 90_000)])
+def test_counts_give_each_task_few_rows(spark, monkeypatch, most, hot):
+    """However many partitions the session asks for, however often keys repeat; also in several passes, and for keys with very many rows."""
+    for name, value in (("TASK_ROWS", 10_000), ("MOST_ROWS", most), ("BUCKETS", 64)):
+        monkeypatch.setattr(diff, name, value, raising=False)
+    key = f"case when id < {hot} then null when id < {hot + 20_000} then id div 2 else id end as k"  # some keys twice
+    a = spark.range(0, 180_000, 1, 8).selectExpr(key, "id % 3 as v")
+    b = spark.range(0, 200_000, 1, 8).where("id % 10 <> 9").selectExpr(key, "case when id % 4 = 0 then -1 else id % 3 end as v")
+    got, most_rows, held = rows_of_tasks(spark, f"diff {most} {hot}", lambda: diff_counts(a, b, ["k"]).first().asDict())
+    assert most_rows <= 35_000 and held <= 1_000_000
+    sides = []
+    for side, end in enumerate((180_000, 200_000)):
+        rows: dict = {}
+        for i in range(end):
+            if not side or i % 10 != 9:
+                k = None if i < hot else i // 2 if i < hot + 20_000 else i
+                of = rows.setdefault(k, {})
+                v = -1 if side and i % 4 == 0 else i % 3
+                of[v] = of.get(v, 0) + 1
+        sides.append(rows)
+    x, y = sides
+    count = lambda of: sum(of.values())
+    same = sum(m * y[k].get(v, 0) for k, of in x.items() if k in y for v, m in of.items())
+    assert got == {
+        "added": sum(count(of) for k, of in y.items() if k not in x), "removed": sum(count(of) for k, of in x.items() if k not in y),
+        "changed": sum(count(of) * count(y[k]) for k, of in x.items() if k in y) - same, "unchanged": same,
+        "repeated": sum(k in y and count(of) + count(y[k]) > 2 for k, of in x.items()),
+    }
+
+
+@pytest.mark.parametrize("task", [1, 1_000])
+def test_counts_in_passes_keep_equal_keys_together(spark, monkeypatch, task):
+    """Texts that a collation holds equal, zeros of either sign, not-a-number and nulls."""
+    for name, value in (("TASK_ROWS", task), ("MOST_ROWS", 1), ("BUCKETS", 64)):
+        monkeypatch.setattr(diff, name, value, raising=False)
+    a, b = (spark.range(300).selectExpr(f"{f}(concat('k', id)) collate UTF8_LCASE as k", f"if(id % 2 = 0, {zero}, if(id % 3 = 0, double('nan'), null)) as x", "1 as v") for f, zero in (("lower", "0.0d"), ("upper", "-0.0d")))
+    for keys, unchanged in ((["k"], 300), (["k", "x"], 300), (["x"], 150 * 150 + 50 * 50 + 100 * 100)):
+        got = diff_counts(a.select(*keys, "v"), b.select(*keys, "v"), keys).first().asDict()
+        assert (got["added"], got["removed"], got["changed"], got["unchanged"]) == (0, 0, 0, unchanged)
